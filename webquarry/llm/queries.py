@@ -44,15 +44,54 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import Similarity, classes
+
+    return classes(table(spark, sf_dir, "documents"), Similarity(width=4, least=85, of=100))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import perplexity
+
+    return perplexity(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_counts": op3_token_counts,
     "op4_fingerprints": op4_fingerprints,
     "op5_warc": op5_warc,
     "op6_html_extraction": op6_html_extraction,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op9_toxicity": op9_toxicity,
+    "op10_language_model": op10_language_model,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                   ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS ss
+            FROM w),
+        c AS (SELECT list_sort(ss) AS ss, min(doc_id) AS rep, len(any_value(ss)) AS n FROM s WHERE len(ss) > 0 GROUP BY 1),
+        x AS (SELECT rep, n, unnest(ss) AS g FROM c),
+        o AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS i
+              FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2),
+        e AS (SELECT a, b FROM o WHERE 100 * i >= 85 * (n + m - i)),
+        both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(v, u) AS (SELECT rep, rep FROM c UNION SELECT r.v, b.b FROM r JOIN both_ways b ON b.a = r.u),
+        l AS (SELECT v, min(u) AS component_id FROM r GROUP BY 1)
+        SELECT s.doc_id, CAST(len(s.ss) AS BIGINT) AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id
+        FROM s LEFT JOIN c ON len(s.ss) > 0 AND c.ss = list_sort(s.ss) LEFT JOIN l ON l.v = c.rep""",
     "op5_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
