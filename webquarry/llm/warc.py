@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import shared_dir, tune
+from .session import materialize, shared_dir, tune
 
 #: Bytes of a record's block in one segment; a longer block goes on in continuation records.
 SEGMENT_BYTES = 32_768
@@ -209,7 +209,8 @@ def round_trip(pages: DataFrame, path: str | None = None, least_bytes: int = 100
     tune(spark)
     path = path or f"{shared_dir(spark)}/webquarry/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least_bytes, segment_bytes)
-    read = payloads(reassemble(read_archives(spark, path)))
+    # The archives are read once: what is kept of a page is small.
+    read = materialize(payloads(reassemble(read_archives(spark, path))), "payloads")
     responses = read.filter("kind = 'response'")
     revisits = read.filter("kind = 'revisit'")
     # The length of a revisit's payload is that of the response that it refers to; one row for each of those.
