@@ -50,6 +50,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"), Similarity(width=4, least=85, of=100))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -69,11 +75,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_html_extraction": op6_html_extraction,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_language_model": op10_language_model,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": r"""
+        WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, row_number() OVER () AS r FROM documents),
+        iw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark),
+        i AS (SELECT item_id, least(5, len(ws)) AS w, unnest(list_distinct(list_transform(range(1, len(ws) - least(5, len(ws)) + 2), lambda k: array_to_string(ws[k:k + least(5, len(ws)) - 1], ' ')))) AS g FROM iw WHERE len(ws) > 0),
+        n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1),
+        v AS (SELECT DISTINCT w FROM i),
+        d AS (SELECT DISTINCT r, doc_id, w, unnest(list_transform(range(1, len(ws) - w + 2), lambda k: array_to_string(ws[k:k + w - 1], ' '))) AS g FROM dw, v WHERE len(ws) >= w),
+        m AS (SELECT d.r, d.doc_id, i.item_id, count(*) AS s FROM d JOIN i ON d.g = i.g AND d.w = i.w GROUP BY ALL)
+        SELECT m.doc_id, m.item_id, CAST(n.n AS INTEGER) AS n_item_shingles, CAST(m.s AS INTEGER) AS n_shared, m.s / n.n AS containment
+        FROM m JOIN n USING (item_id) WHERE m.s >= 0.8 * n.n""",
     "op7_jaccard_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
