@@ -164,8 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, kind: Features = Features(), rates:
     return Model(kind, np.array([r.place for r in found], dtype=np.int64), np.array([r.value for r in found], dtype=np.float32))
 
 
-def score(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``score`` for each row, without a shuffle; only the weights are broadcast.
+def score(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "text", name: str = "score") -> DataFrame:
+    """The columns ``keep`` and ``name``, the score, for each row, without a shuffle; only the weights are broadcast.
 
     Null and empty texts have the score of the bias alone.
     """
@@ -182,9 +182,9 @@ def score(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "te
         for batch in batches:
             sums = np.array([bias + float(w[hasher(t)].sum(dtype=np.float64)) for t in batch.column(len(names)).to_pylist()])
             scores = 1.0 / (1.0 + np.exp(-np.clip(sums, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(scores, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(scores, pa.float64())], names=[*names, name])
 
-    return rows.mapInArrow(run, schema.add("score", "double"))
+    return rows.mapInArrow(run, schema.add(name, "double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, fold: int = 2, kind: Features = Features(), rates: Rates = Rates(), most_rows: int = 16_000) -> DataFrame:
