@@ -24,6 +24,11 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+def split_plain(part: str) -> list[str]:
+    """A lower-case part without white space, split as the tokenizer's pattern does."""
+    return [part] if part.isalpha() else _PIECES.findall(part)
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}

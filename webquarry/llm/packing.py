@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,29 +32,81 @@ class Capacity:
         return np.array([self.tokens, self.documents, self.attention], dtype=np.float64)
 
 
+#: Parts of texts of these characters alone aren't changed by the tokenizer's normalizer but for their case.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
 class _Ids:
-    """Token ids of texts as little-endian bytes, through a bounded memory of parts between white space."""
+    """Token ids of texts as little-endian bytes, through a bounded memory of parts between white space and of their words."""
 
-    def __init__(self, path: str, cache_size: int = 250_000):
+    def __init__(self, path: str, cache_size: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.no_padding()
         self.encoder.no_truncation()
+        self.shown = {b: c for b, c in enumerate(bpe.byte_symbols()) if chr(b) != c}
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.cache_size = cache_size
 
+    def _merge(self, word: str) -> bytes:
+        """Ids of a word that is normalized and split already: only the merges are left to do."""
+        symbols = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.shown)
+        ids = [t.id for t in self.encoder.model.tokenize(symbols)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _encode(self, parts: list[str]) -> None:
+        """Encodes many parts in one call; each is a word of its own to the tokenizer."""
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            found = self.encoder.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            ends = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(some)), side="right") * 4
+            start = 0
+            for c, end in zip(some, ends.tolist(), strict=True):
+                self.known[c] = ids[start:end]
+                start = end
+
+    def _learn(self, missing: set[str]) -> None:
+        known, words, plain = self.known, self.words, _PLAIN.fullmatch
+        if len(words) > self.cache_size // 2:
+            words.clear()
+        other = []
+        for c in missing:
+            if not plain(c) or "<|" in c:
+                other.append(c)
+                continue
+            ids = b""
+            for w in bpe.split_plain(c.lower()):
+                b = words.get(w)
+                if b is None:
+                    b = words[w] = self._merge(w)
+                ids += b
+            known[c] = ids
+        self._encode(other)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [bpe.chunks(x) for x in texts]
-        known = self.known
-        if len(known) > self.cache_size:
-            known.clear()
-        missing = list({c for p in parts for c in p if c not in known})
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            for c, e in zip(some, self.encoder.encode_batch(some, add_special_tokens=False), strict=True):
-                known[c] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[c] for c in p]) for p in parts]
+        get, found, holes, missing = self.known.get, [], [], set()
+        for text in texts:
+            parts = bpe.chunks(text)
+            ids = list(map(get, parts))
+            found.append(ids)
+            at = -1
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    missing.add(parts[at])
+                    holes.append((ids, at, parts[at]))
+            except ValueError:
+                pass
+        if missing:
+            if len(self.known) + len(missing) > self.cache_size:  # only what this batch uses is kept
+                self.known = {c: b for text, ids in zip(texts, found, strict=True) for c, b in zip(bpe.chunks(text), ids, strict=True) if b is not None}
+            self._learn(missing)
+            for ids, at, part in holes:
+                ids[at] = self.known[part]
+        return [b"".join(ids) for ids in found]
 
 
 _encoders: dict[str, _Ids] = {}
