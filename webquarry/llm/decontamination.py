@@ -85,9 +85,11 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, threshold: f
     if not widths:
         return rows.select("doc_id", F.lit(None).cast("bigint").alias("item_id"), F.lit(0).alias("n_item_shingles"), F.lit(0).alias("n_shared"), F.lit(0.0).alias("containment")).filter("false")
     split = rows.select("doc_id", words(F.col("text")).alias("ws"))
+    # explode_outer: for explode, the optimizer would add a filter that computes all shingles once more, from the text
+    # for each word; the null of a text without shingles meets nothing.
     probes = None
     for w in widths:
-        one = split.select("doc_id", F.size("ws").alias("size"), F.explode(shingle_hashes(F.col("ws"), w)).alias("h"))
+        one = split.select("doc_id", F.size("ws").alias("size"), F.explode_outer(shingle_hashes(F.col("ws"), w)).alias("h"))
         part = found.filter(F.col("width") == w).select("h", "item_id", "least")
         met = one.join(F.broadcast(part) if small else part, "h").filter(F.col("size") - (w - 1) >= F.col("least")).select("doc_id", "item_id")
         probes = met if probes is None else probes.unionByName(met)
@@ -96,5 +98,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, threshold: f
     held = rows.join(candidates, rows.doc_id.eqNullSafe(candidates.doc_id)).select(rows.doc_id, "text", "item_id")
     own = table.select(F.col("item_id").alias("own_id"), "shingles", "width", F.col("n").alias("n_item_shingles"))
     held = held.join(F.broadcast(own) if small else own, F.col("item_id").eqNullSafe(F.col("own_id")))
-    shared = F.size(F.array_intersect(shingle_texts(words(F.col("text")), F.col("width")), F.col("shingles")))
-    return held.withColumn("n_shared", shared).withColumn("containment", F.col("n_shared") / F.col("n_item_shingles")).filter(F.col("containment") >= threshold).select("doc_id", "item_id", "n_item_shingles", "n_shared", "containment")
+    # Written before it is filtered: a filter on the containment would be pushed below the words and split them again.
+    held = held.withColumn("ws", words(F.col("text"))).select("doc_id", "item_id", "shingles", "n_item_shingles", shingle_texts(F.col("ws"), F.col("width")).alias("own"))
+    held = materialize(held.select("doc_id", "item_id", "n_item_shingles", F.size(F.array_intersect("own", "shingles")).alias("n_shared")), "held")
+    return held.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles")).filter(F.col("containment") >= threshold).select("doc_id", "item_id", "n_item_shingles", "n_shared", "containment")
