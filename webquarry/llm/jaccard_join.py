@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -21,12 +21,16 @@ from .lm import count_bin
 from .session import materialize, tune
 from .shingles import Shingler, mix, set_key
 
-#: Frequent tokens that are ordered last, at most; the order only bears on the cost.
-HOT_TOKENS = 65_536
+#: Frequent tokens that are ordered last, at most (16 bytes each are broadcast); the order only bears on the cost.
+HOT_TOKENS = 1 << 20
 #: Largest size that can be light.
 MOST_LIGHT = 256
 #: Bits of the filter for candidate nodes.
 FILTER_BITS = 1 << 25
+#: Lists up to this length give their pairs at once, each pair counted once over all lists; longer ones go by blocks.
+SHORT_LIST = 16
+#: Nodes of a list that are held against each other at once.
+LIST_BLOCK = 2048
 #: Blocks into which the partners of one hub are dealt.
 BLOCKS = 32
 
@@ -65,12 +69,33 @@ def _batches(rows: list[tuple], types: list, names: list[str]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Which of 2 ** k classes of hashes a set has tokens in, four classes a token or more: packed bits."""
+    k = max(3, (4 * len(shingles) - 1).bit_length())
+    bits = np.zeros(1 << k, dtype=np.uint8)
+    bits[(mix(shingles) >> np.uint64(64 - k)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def could_link(a: bytes, n: int, b: bytes, m: int, similarity: Similarity) -> bool:
+    """Whether two sets could be linked, by their sketches: a class that only one set has holds a token that only it has.
+
+    Never false for sets that are linked.
+    """
+    x, y = (np.frombuffer(v, dtype=np.uint8) for v in (a, b))
+    while len(x) != len(y):  # the finer one is folded: neighbouring classes become one
+        fine = np.unpackbits(x if len(x) > len(y) else y).reshape(-1, 2).max(axis=1)
+        x, y = (np.packbits(fine), y) if len(x) > len(y) else (x, np.packbits(fine))
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return similarity.of * most >= similarity.least * (n + m - most)
+
+
 def describe(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame]:
-    """From ``doc_id, text (binary)``: one table of ``doc_id, n, node``, and one of ``token, c`` of repeated tokens.
+    """From ``doc_id, text (binary)``: one table of ``doc_id, n, node, sketch``, and one of ``token, c`` of repeated tokens.
 
-    Tokens are counted within stretches of a few million; those seen at least three times in one are reported.
+    Tokens are counted within stretches of a few million; those seen more than once in one are reported.
     """
-    types, names = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()], ["doc_id", "n", "node", "token", "c"]
+    types, names = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()], ["doc_id", "n", "node", "sketch", "token", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(similarity.width)
@@ -80,29 +105,29 @@ def describe(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFr
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 token, c = np.unique(np.concatenate(held), return_counts=True)
-                some = c >= 3
+                some = c >= 2
                 token, c = token[some].astype(np.int64), c[some]
                 if len(token):
                     none = pa.nulls(len(token), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(token), pa.array(c.astype(np.int64))], names=names)
+                    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(token), pa.binary()), pa.array(token), pa.array(c.astype(np.int64))], names=names)
                 held.clear()
 
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingler(text)
-                rows.append((doc, len(s), set_key(s), None, None))
+                rows.append((doc, len(s), set_key(s), sketch(s) if len(s) >= similarity.smallest else None, None, None))
                 held.append(s)
                 size += len(s)
             if rows:
                 yield _batches(rows, types, names)
-            if size > 2_000_000:
+            if size > 4_000_000:
                 yield from flush()
                 size = 0
         yield from flush()
 
-    found = materialize(docs.mapInArrow(run, "doc_id long, n long, node long, token long, c long"), "sets")
-    return found.filter("node IS NOT NULL").select("doc_id", "n", "node"), found.filter("token IS NOT NULL").groupBy("token").agg(F.sum("c").alias("c"))
+    found = materialize(docs.mapInArrow(run, "doc_id long, n long, node long, sketch binary, token long, c long"), "sets")
+    return found.filter("node IS NOT NULL").select("doc_id", "n", "node", "sketch"), found.filter("token IS NOT NULL").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def hot_tokens(repeated: DataFrame, most: int = HOT_TOKENS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -189,36 +214,130 @@ def node_filter(nodes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def node_texts(docs: DataFrame, nodes: DataFrame, similarity: Similarity) -> DataFrame:
+def node_texts(docs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: Similarity) -> DataFrame:
     """``node, text`` for the nodes of a table: one text of each, without shuffling other texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(node_filter(nodes))
+    ids = rows.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    shared = docs.sparkSession.sparkContext.broadcast(node_filter(materialize(ids.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")), "ids")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, field, seen = Shingler(similarity.width), shared.value, set()
         for batch in batches:
             out = []
-            for text in batch.column(0).to_pylist():
-                s = shingler(text)
-                if len(s) >= similarity.smallest and (node := set_key(s)) not in seen:
-                    h = int(mix(np.array([node], dtype=np.int64).astype(np.uint64))[0] % np.uint64(FILTER_BITS))
-                    if field[h >> 3] >> (h & 7) & 1:
-                        seen.add(node)
-                        out.append((node, text))
+            h = (mix(batch.column(0).fill_null(-1).to_numpy().astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+            for text in batch.column(1).filter(pa.array((field[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool))).to_pylist():
+                node = set_key(shingler(text))
+                if node not in seen:
+                    seen.add(node)
+                    out.append((node, text))
             if out:
                 yield _batches(out, [pa.int64(), pa.binary()], ["node", "text"])
 
-    return docs.select("text").mapInArrow(run, "node long, text binary").groupBy("node").agg(F.first("text").alias("text"))
+    found = docs.mapInArrow(run, "node long, text binary").join(nodes, "node", "left_semi")
+    return found.groupBy("node").agg(F.first("text").alias("text"))
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, similarity: Similarity) -> DataFrame:
+    """Of ``hub, node`` the pairs whose sketches don't rule them out."""
+    one = pairs.join(sketches.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch")), "hub")
+    both = one.join(sketches, "node").select("hub", "node", "hub_sketch", "hub_n", "sketch", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [could_link(*x, similarity) for x in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+            yield batch.select(["hub", "node"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "hub long, node long")
+
+
+class _Block:
+    """The nodes of a part of a list, by size, with their sketches at the level of their own and at the one below."""
+
+    def __init__(self, rows: list[tuple[int, int, int, int, bytes]]):
+        rows.sort(key=lambda r: (r[3], r[0]))
+        self.node, self.component, self.part, self.n = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
+        self.bits = [np.frombuffer(r[4], dtype=np.uint8) for r in rows]
+        self.level = np.array([len(b) for b in self.bits])
+        self.own = {size: (at := np.flatnonzero(self.level == size), np.stack([self.bits[i] for i in at])) for size in set(self.level.tolist())}
+        self.folded = {size // 2: (at, np.packbits(np.unpackbits(m, axis=1).reshape(len(at), -1, 2).max(axis=2), axis=1)) for size, (at, m) in self.own.items() if size > 1}
 
+    def pairs(self, similarity: Similarity, across: bool) -> Iterator[tuple[int, int]]:
+        """Pairs of nodes of different components (and parts, if ``across``) that sketches and sizes don't rule out."""
+        for i in range(len(self.node)):
+            most_n = similarity.of * int(self.n[i]) // similarity.least
+            for at, matrix in (self.own[int(self.level[i])], self.folded.get(int(self.level[i]), (None, None))):
+                if at is None:
+                    continue
+                lo, hi = np.searchsorted(at, i + 1), np.searchsorted(self.n[at], most_n, side="right")
+                if hi <= lo:
+                    continue
+                j, m = at[lo:hi], matrix[lo:hi]
+                fits = (self.component[j] != self.component[i]) & ((self.part[j] != self.part[i]) if across else True)
+                j, m = j[fits], m[fits]
+                if not len(j):
+                    continue
+                own = self.bits[i]
+                both = np.bitwise_count(m & own).sum(axis=1, dtype=np.int64)
+                most = np.minimum(self.n[i] - (int(np.bitwise_count(own).sum()) - both), self.n[j] - (np.bitwise_count(m).sum(axis=1, dtype=np.int64) - both))
+                for k in j[similarity.of * most >= similarity.least * (self.n[i] + self.n[j] - most)].tolist():
+                    a, b = int(self.node[i]), int(self.node[k])
+                    yield (a, b) if a > b else (b, a)
+
+
+def within_lists(lists: DataFrame, sketches: DataFrame, similarity: Similarity, most: int = LIST_BLOCK) -> DataFrame:
+    """``hub, node``: pairs of one list and of different components that could be linked.
+
+    Short lists give their pairs, which are the same in many lists; sketches are looked at for distinct pairs later.
+    Nodes of a longer list are held against each other in blocks of ``most`` by their sketches, and only what is left
+    is emitted.  ``lists`` has ``token, node, n, component, k``, with k the length of the list.
+    """
+    short = lists.filter(F.col("k") <= SHORT_LIST).select("token", "node", "n", "component")
+    a, b = short.alias("a"), short.alias("b")
+    met = a.join(b, F.col("a.token") == F.col("b.token")).filter((F.col("a.node") > F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & similarity.sizes_fit(F.col("a.n"), F.col("b.n")))
+    few = met.select(F.col("a.node").alias("hub"), F.col("b.node").alias("node")).distinct()
+    lists = lists.filter(F.col("k") > SHORT_LIST)
+    parts = F.ceil(F.col("k") / most).cast("int")
+    dealt = lists.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("token", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "component", "part")
+    dealt = dealt.join(sketches, "node").select("token", "low", "high", "node", "component", "part", "n", "sketch")
+    dealt = dealt.repartition(docs_partitions(lists), "token", "low", "high").sortWithinPartitions("token", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, seen = None, [], set()
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> DataFrame:
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                found = {p for p in _Block(held).pairs(similarity, key[1] != key[2])} - seen
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.update(found)
+                if found:
+                    yield _batches(sorted(found), [pa.int64(), pa.int64()], ["hub", "node"])
+
+        for batch in batches:
+            for token, low, high, *row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                if key != (token, low, high):
+                    yield from done()
+                    key, held = (token, low, high), []
+                held.append(tuple(row))
+        yield from done()
+
+    return few.unionByName(dealt.mapInArrow(run, "hub long, node long"))
+
+
+def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, sketches: DataFrame, similarity: Similarity) -> DataFrame:
     """Of ``hub, node`` the pairs that are linked, as ``a, b``.
 
+    Sketches rule most others out; only the texts of the pairs that are left are gathered.
+
     The texts of a hub's partners are dealt to blocks, each with the hub's text in front, and streamed past it.
     """
+    pairs = materialize(possible(pairs, sketches, similarity), "pairs")
+    nodes = materialize(pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct(), "nodes")
+    texts = materialize(node_texts(docs, rows, nodes, similarity), "texts")
     dealt = pairs.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(BLOCKS)).cast("int"))
     hubs = dealt.select("hub", "block").distinct().withColumn("node", F.col("hub"))
-    rows = dealt.select("hub", "block", "node", F.lit(1).alias("place")).unionByName(hubs.select("hub", "block", "node", F.lit(0).alias("place")))
-    met = rows.join(texts, "node").select("hub", "block", "place", "node", "text")
+    dealt = dealt.select("hub", "block", "node", F.lit(1).alias("place")).unionByName(hubs.select("hub", "block", "node", F.lit(0).alias("place")))
+    met = dealt.join(texts, "node").select("hub", "block", "place", "node", "text")
     sorted_ = met.repartition(int(docs_partitions(pairs)), "hub", "block").sortWithinPartitions("hub", "block", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +365,8 @@ def links(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame
     """``doc_id, n, node`` of each row, and the components ``node, component`` of nodes linked to others.
 
     First each node is verified against one hub of each list and size class.  Then, in lists whose nodes aren't all
-    in one component yet, every two nodes of different components and fitting sizes are verified.  What stays unverified
-    is in one component already, so that no component is lost.
+    in one component yet, every two nodes of different components and fitting sizes are held against each other.  What
+    stays unverified is in one component already or ruled out by exact bounds, so that no component is lost.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -257,31 +376,27 @@ def links(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame
     light = boundary(sizes, similarity, list_length)
 
     lists = signatures(docs, similarity, (tokens, counts), light).repartition(docs_partitions(docs), "token").groupBy("token", "node").agg(F.first("n").alias("n"))
-    # Hubs: the least node of a list and size class.  Sizes of one class fit each other.
+    # A hub for each list and size class.  Sizes of one class fit each other.
     ratio = float(np.log(similarity.of / similarity.least))
     lists = lists.withColumn("class", F.floor(F.log(F.col("n")) / ratio).cast("int"))
-    from pyspark.sql import Window
-
     by_list, by_class = Window.partitionBy("token"), Window.partitionBy("token", "class")
-    lists = lists.withColumn("size", F.count(F.lit(1)).over(by_list)).filter("size > 1").withColumn("hub", F.min("node").over(by_class)).drop("size")
+    lists = lists.withColumn("size", F.count(F.lit(1)).over(by_list)).filter("size > 1").drop("size")
     lists = materialize(lists, "lists")
-    texts = materialize(node_texts(docs, lists.select("node").distinct(), similarity), "texts")
+    # The node that shares the most tokens is likest to the others: an original among its edited copies.
+    degrees = materialize(lists.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    ranked = lists.join(degrees, "node").withColumn("hub", F.max(F.struct("degree", "node")).over(by_class)["node"])
+
+    sketches = materialize(rows.filter("sketch IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
 
-    stars = lists.filter("hub <> node").select("hub", "node").distinct()
-    first = materialize(verify(stars, texts, similarity), "first")
+    stars = ranked.filter("hub <> node").select("hub", "node").distinct()
+    first = materialize(verify(stars, docs, rows, sketches, similarity), "first")
     tied = materialize(components(first), "tied")
 
     labelled = lists.select("token", "node", "n").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = materialize(labelled, "labelled")
-    # The component with the most nodes of a list is met by the others; those also meet each other.
-    sums = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
-    largest = sums.groupBy("token").agg(F.max(F.struct("k", "component")).alias("m"), F.count(F.lit(1)).alias("several")).filter("several > 1").select("token", F.col("m.component").alias("largest"))
-    largest = materialize(largest, "largest")
-    open_ = labelled.join(largest, "token")
-    few = open_.filter("component <> largest").select("token", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-    pairs = few.join(open_, "token").filter((F.col("component") != F.col("hub_component")) & ((F.col("component") == F.col("largest")) | (F.col("hub") < F.col("node"))) & similarity.sizes_fit(F.col("n"), F.col("hub_n")))
-    pairs = pairs.select(F.greatest("hub", "node").alias("hub"), F.least("hub", "node").alias("node")).distinct()
-    second = verify(pairs, texts, similarity)
+    several = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k")).filter("low <> high").select("token", "k")
+    pairs = within_lists(labelled.join(materialize(several, "several"), "token"), sketches, similarity).distinct()
+    second = verify(pairs, docs, rows, sketches, similarity)
     return rows, components(first.unionByName(second))
 
 
