@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .lm import count_bin
-from .session import materialize, tune
+from .session import materialize, trimmed, tune
 from .shingles import Shingler, mix, set_key
 
 #: Frequent tokens that are ordered last, at most (16 bytes each are broadcast); the order only bears on the cost.
@@ -126,7 +126,7 @@ def describe(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFr
                 size = 0
         yield from flush()
 
-    found = materialize(docs.mapInArrow(run, "doc_id long, n long, node long, sketch binary, token long, c long"), "sets")
+    found = materialize(docs.mapInArrow(trimmed(run), "doc_id long, n long, node long, sketch binary, token long, c long"), "sets")
     return found.filter("node IS NOT NULL").select("doc_id", "n", "node", "sketch"), found.filter("token IS NOT NULL").groupBy("token").agg(F.sum("c").alias("c"))
 
 
@@ -138,9 +138,8 @@ def hot_tokens(repeated: DataFrame, most: int = HOT_TOKENS) -> tuple[np.ndarray,
     while least > 1 and room >= bins.get(least - 1, (0, 0))[0]:
         least -= 1
         room -= bins.get(least, (0, 0))[0]
-    rows = repeated.filter(count_bin(F.col("c")) >= least).collect()
-    token = np.array([r.token for r in rows], dtype=np.int64).astype(np.uint64)
-    c = np.array([r.c for r in rows], dtype=np.int64)
+    rows = repeated.filter(count_bin(F.col("c")) >= least).select("token", "c").toArrow()
+    token, c = rows.column("token").to_numpy().astype(np.uint64), rows.column("c").to_numpy()
     by = np.argsort(token)
     rest = [(n, s) for b, (n, s) in bins.items() if b < least]
     return token[by], c[by], sum(s for _, s in rest) / max(1, sum(n for n, _ in rest))
@@ -195,7 +194,7 @@ def signatures(docs: DataFrame, similarity: Similarity, hot: tuple[np.ndarray, n
                 size = [len(t) for t, _, _ in out]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t for t, _, _ in out]).astype(np.int64)), pa.array(np.repeat([x for _, x, _ in out], size).astype(np.int64)), pa.array(np.repeat([x for _, _, x in out], size).astype(np.int32))], names=["token", "node", "n"])
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n int")
+    return docs.select("text").mapInArrow(trimmed(run), "token long, node long, n int")
 
 
 def node_filter(nodes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -209,7 +208,7 @@ def node_filter(nodes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([field.tobytes()], pa.binary())], names=["field"])
 
     out = np.zeros(bits // 8, dtype=np.uint8)
-    for r in nodes.coalesce(6).mapInArrow(run, "field binary").toLocalIterator():
+    for r in nodes.coalesce(6).mapInArrow(trimmed(run), "field binary").toLocalIterator():
         out |= np.frombuffer(r.field, dtype=np.uint8)
     return out
 
@@ -232,7 +231,7 @@ def node_texts(docs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: S
             if out:
                 yield _batches(out, [pa.int64(), pa.binary()], ["node", "text"])
 
-    found = docs.mapInArrow(run, "node long, text binary").join(nodes, "node", "left_semi")
+    found = docs.mapInArrow(trimmed(run), "node long, text binary").join(nodes, "node", "left_semi")
     return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
@@ -246,7 +245,7 @@ def possible(pairs: DataFrame, sketches: DataFrame, similarity: Similarity) -> D
             keep = [could_link(*x, similarity) for x in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
             yield batch.select(["hub", "node"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "hub long, node long")
+    return both.mapInArrow(trimmed(run), "hub long, node long")
 
 
 class _Block:
@@ -321,7 +320,7 @@ def within_lists(lists: DataFrame, sketches: DataFrame, similarity: Similarity,
                 held.append(tuple(row))
         yield from done()
 
-    return few.unionByName(dealt.mapInArrow(run, "hub long, node long"))
+    return few.unionByName(dealt.mapInArrow(trimmed(run), "hub long, node long"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, sketches: DataFrame, similarity: Similarity) -> DataFrame:
@@ -354,7 +353,7 @@ def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, sketches: DataFra
             if out:
                 yield _batches(out, [pa.int64(), pa.int64()], ["a", "b"])
 
-    return sorted_.mapInArrow(run, "a long, b long")
+    return sorted_.mapInArrow(trimmed(run), "a long, b long")
 
 
 def docs_partitions(df: DataFrame) -> int:
