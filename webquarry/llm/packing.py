@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .session import tune
+from .session import trimmed, tune
 
 #: Documents of one packing shard, about.  Each shard wastes part of a sequence at most, so more would gain nothing.
 SHARD_DOCUMENTS = 4096
@@ -39,7 +39,7 @@ _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 class _Ids:
     """Token ids of texts as little-endian bytes, through a bounded memory of parts between white space and of their words."""
 
-    def __init__(self, path: str, cache_size: int = 1_200_000):
+    def __init__(self, path: str, cache_size: int = 600_000):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
@@ -146,7 +146,7 @@ def pieces(docs: DataFrame, vocabulary: str, tokens: int = 2048, end_id: int = 0
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), shape.types, strict=True)], schema=shape)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(trimmed(cut), schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: Capacity = Capacity(), weights: tuple[float, float, float] = (1.0, 0.05, 0.05), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import tune
+from .session import trimmed, tune
 
 _WORD = re.compile(r"[^\W\d_]+")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, kind: Features = Features(), rates:
             places, values = train([seen[i] for i in sorted(seen)], kind, rates)
             yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(values, pa.float64())], names=["place", "value"])
 
-    found = rows.repartition(1).mapInArrow(learn, "place long, value double").collect()
+    found = rows.repartition(1).mapInArrow(trimmed(learn), "place long, value double").collect()
     return Model(kind, np.array([r.place for r in found], dtype=np.int64), np.array([r.value for r in found], dtype=np.float32))
 
 
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "te
             scores = 1.0 / (1.0 + np.exp(-np.clip(sums, -35, 35)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(scores, pa.float64())], names=[*names, name])
 
-    return rows.mapInArrow(run, schema.add(name, "double"))
+    return rows.mapInArrow(trimmed(run), schema.add(name, "double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, fold: int = 2, kind: Features = Features(), rates: Rates = Rates(), most_rows: int = 16_000) -> DataFrame:
