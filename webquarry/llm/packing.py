@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .session import trimmed, tune
+from .session import keeps, trimmed, tune
 
 #: Documents of one packing shard, about.  Each shard wastes part of a sequence at most, so more would gain nothing.
 SHARD_DOCUMENTS = 4096
@@ -110,6 +110,7 @@ class _Ids:
 
 
 _encoders: dict[str, _Ids] = {}
+keeps(__name__, _encoders.clear)
 
 
 def _ids(path: str) -> _Ids:

@@ -21,10 +21,22 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+#: What workers keep from task to task, by the module that keeps it: dropped when a task of another module begins.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, drop: Callable[[], None]) -> None:
+    """Tells that a module keeps memory in the worker between its tasks, and how to drop it."""
+    _kept[module] = drop
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function of batches after which the worker gives its free memory back: workers live on from stage to stage."""
 
     def wrapped(batches: Iterator) -> Iterator:
+        for module, drop in _kept.items():
+            if module != run.__module__:
+                drop()
         try:
             yield from run(batches)
         finally:
