@@ -152,6 +152,31 @@ def test_near_passages_are_found(spark):
     assert repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_edited_passages_equal_brute_force(spark):
+    """Edits of several words in a row, insertions, deletions and moves: all pairs that are similar enough are found."""
+    rng = random.Random(3)
+    base = [f"n{i}" for i in range(100)]
+    rows, n = [(0, base)], 1
+    for size in (1, 2, 4, 5, 6, 8):
+        for at in (30, 48, 60):
+            for kind in ("replace", "insert", "delete"):
+                new = [] if kind == "delete" else [f"e{n}x{k}" for k in range(size)]
+                rows.append((n, [*base[:at], *new, *base[at + (0 if kind == "insert" else size) :]]))
+                n += 1
+    rows.append((n, [*base[:45], "e", *base[46:49], "e", *base[50:95]]))
+    rows = [(i, [f"a{i}x{k}" for k in range(rng.randint(0, 30))] + w + [f"b{i}x{k}" for k in range(rng.randint(0, 30))]) for i, w in rows]
+    got: dict[int, set] = {}
+    for r in repeated_passages(spark.createDataFrame([(i, " ".join(w), "x") for i, w in rows], SCHEMA)).collect():
+        a, b = (shingles(" ".join(dict(rows)[d][s:e]), 5) for d, s, e in ((r.doc_id, r.start_word, r.end_word), (r.source_doc_id, r.source_start, r.source_end)))
+        assert len(a & b) >= 0.8 * len(a | b) and min(r.end_word - r.start_word, r.source_end - r.source_start) >= 50
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    for i, w in rows[1:]:
+        own = [k for k, x in enumerate(w) if x[0] == "n"]
+        s, e = own[0], own[-1] + 1
+        if len(shingles(" ".join(w[s:e]), 5) & shingles(" ".join(base), 5)) >= 0.8 * len(shingles(" ".join(w[s:e]), 5) | shingles(" ".join(base), 5)):
+            assert got[i] >= set(range(s, e)), i
+
+
 def test_cutting(spark):
     assert cut(b"a  b\nc d", [(1, 2)]) == b"a  c d" and cut(b" a b ", [(0, 2)]) == b" " and cut("é x y".encode(), [(0, 1), (2, 3)]) == b"x "
     p = " ".join(f"n{i}" for i in range(60))
