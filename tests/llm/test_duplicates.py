@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from webquarry.llm import jaccard_join
+from webquarry.llm import jaccard_join, substring_dedup
 from webquarry.llm.components import components
 from webquarry.llm.decontamination import contaminated
 from webquarry.llm.jaccard_join import Similarity, boundary, classes, could_link, sketch
@@ -177,6 +177,23 @@ def test_edited_passages_equal_brute_force(spark):
             assert got[i] >= set(range(s, e)), i
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_all_members_of_a_group_are_partners(spark, monkeypatch, large):
+    """A line that many documents have, and passages around it that only two of them share; a chain of variants."""
+    if large:
+        monkeypatch.setattr(substring_dedup, "SMALL_GROUP", 2)
+    line = [f"l{k}" for k in range(40)]
+    rows = [(i, [f"p{i}x{k}" for k in range(30)] + line + [f"q{i}x{k}" for k in range(30)]) for i in range(40)]
+    rows += [(100 + i, [f"p{i}x{k}" for k in range(30)] + line + [f"r{i}x{k}" for k in range(30)]) for i in (7, 20)]
+    for i in range(4):  # of three variants the last one is similar to the middle one only
+        first = [f"c{i}x{k}" for k in range(60)]
+        middle = [*first[:20], "d", *first[21:]]
+        rows += [(200 + 10 * i, first), (201 + 10 * i, middle), (202 + 10 * i, [*middle[:40], "d", *middle[41:]])]
+    got = {(r.doc_id, r.source_doc_id) for r in repeated_passages(spark.createDataFrame([(i, " ".join(w), "x") for i, w in rows], SCHEMA)).collect()}
+    assert {(107, 7), (120, 20)} <= got and all(d >= 100 for d, _ in got)
+    assert {(k + 10 * i, k - 1 + 10 * i) for i in range(4) for k in (201, 202)} <= got
+
+
 def test_cutting(spark):
     assert cut(b"a  b\nc d", [(1, 2)]) == b"a  c d" and cut(b" a b ", [(0, 2)]) == b" " and cut("é x y".encode(), [(0, 1), (2, 3)]) == b"x "
     p = " ".join(f"n{i}" for i in range(60))
