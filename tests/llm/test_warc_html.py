@@ -65,6 +65,14 @@ def test_main_text(a, b):
     assert main_text(PAGE % (a, b)) == WANT
 
 
+def test_teasers_do_not_stand_for_the_article():
+    """Article elements that are teasers only: the path scores find the main text in a div."""
+    text = "".join(f"<p>Sentence {i} of the text, which is long enough; it has marks, too. Another one follows, really.</p>" for i in range(12))
+    teasers = "".join(f"<article><h3><a href={i}>Teaser {i}</a></h3></article>" for i in range(4))
+    got = main_text(f"<body><div id=page><div class=text>{text}</div><div class=more>{teasers}</div></div></body>").split("\n")
+    assert got == [f"Sentence {i} of the text, which is long enough; it has marks, too. Another one follows, really." for i in range(12)]
+
+
 def test_extract_edges(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p>", "x"), (4, "u", "<article>" + "<p>word, word.</p>" * 3000, "x"), (5, "u", "<nav>only menu</nav>", "x")]
     got = {r.page_id: r for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}

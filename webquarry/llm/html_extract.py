@@ -23,7 +23,7 @@ MARKED = re.compile(
 )
 #: Elements that begin and end a block of text (fixed values).
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Elements that hold the article where a page has them (fixed values).
+#: Elements that hold the article where they hold most of the content (fixed values).
 ARTICLE = frozenset({"article", "main"})
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 _SPACE = re.compile(r"\s+")
@@ -138,15 +138,13 @@ def main_text(html: str | None) -> str:
 
     Paths whose score is at least the standard deviation of all scores are content.  The element that holds most of
     the content text most closely is the article; all of its blocks are kept, short ones too, except those in parts
-    that are marked as something else.  Where the page has article or main elements, these hold the article.
+    that are marked as something else.  Article and main elements break ties: where they hold most of the content too,
+    the innermost one that does is the article, or, if it takes several, all of them are.
     """
     if not html:
         return ""
     found = nodes(html)
     kept = [x for x in found if not x.outside]
-    if any(x.inside_article for x in kept):
-        kept = [x for x in kept if x.inside_article]
-        return "\n".join(x.text for x in kept)
     if not kept:
         return ""
     scores = [s for x, s in zip(found, path_scores(found), strict=True) if not x.outside]
@@ -157,11 +155,19 @@ def main_text(html: str | None) -> str:
     total = sum(len(x.text) for x in chosen)
     inside: dict[int, int] = {}
     depth: dict[int, int] = {}
+    articles: set[int] = set()
     for x in chosen:
         for d, h in enumerate(x.holders):
             inside[h] = inside.get(h, 0) + len(x.text)
             depth[h] = d
+            if x.path[d] in ARTICLE:
+                articles.add(h)
     most = [h for h, n in inside.items() if n >= 0.7 * total]
+    if sum(len(x.text) for x in chosen if x.inside_article) >= 0.7 * total:
+        kept = [x for x in kept if x.inside_article]
+        most = [h for h in most if h in articles]
+        if not most:
+            return "\n".join(x.text for x in kept)
     if not most:
         return "\n".join(x.text for x in chosen)
     root = max(most, key=lambda h: (depth[h], -h))
