@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from webquarry.operators import consistency, findings as fnd, relations
+from webquarry.operators import consistency, findings as fnd, relations, trust
 from webquarry.plans import fixtures
 from webquarry.plans.audit import known_urls, raw_findings
 
@@ -46,3 +46,11 @@ def test_conflict_expression_equals_python(spark):
     assert rows
     for r in rows:
         assert r.found == consistency.in_conflict(r.kind, *({n: r[f"{x}_{n}"] for n in fields} for x in "ab"))
+
+
+def test_hot_sites_keep_all_strings(spark):
+    """More than 1000 links, and offerings of which the services come last."""
+    links = [(1, [f"u{i}" for i in range(700)]), (2, [f"u{i}" for i in range(600, 1500)])]
+    page = spark.createDataFrame([("a", n, x, [f"Kite {i}" for i in range(1200)] + ["Kite Consulting"]) for n, x in links], "site string, page_id long, social_links array<string>, offerings array<string>")
+    assert trust._first_strings(page, "social_links").first().all_social_links == [f"u{i}" for i in range(1500)]
+    assert trust._first_offerings(page).first().all_offerings == [*[f"Kite {i}" for i in range(8)], "Kite Consulting"]
