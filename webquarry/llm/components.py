@@ -17,16 +17,16 @@ def _least(edges: DataFrame) -> DataFrame:
     return materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the least node that can be reached) for each node of ``edges(a, b)``.
 
     Large-star: every greater neighbour of a node is tied to the node's least neighbour.  Small-star: every smaller
-    one, and the node, likewise.  Each round is written to the shared folder; rounds grow with the logarithm of the
-    longest path.  Self-loops and repeated edges are allowed; without edges the result is empty.
+    one, and the node, likewise.  Each round is written to the shared folder; they end when one changes nothing, after a
+    number that grows with the logarithm of the longest path.  Self-loops and repeated edges are allowed; without edges the result is empty.
     """
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = _least(both)
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -36,8 +36,7 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         met = down.join(least2, "a")
         small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least2.select("a", F.col("m").alias("b"))).filter("a <> b")
         new = materialize(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        for old in (now, least, large, least2):
-            release(old)
+        release(now, least, large, least2)
         now, before, state = new, state, _state(new)
         if state == before:
             break
