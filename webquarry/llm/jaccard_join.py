@@ -114,8 +114,7 @@ def describe(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFr
 
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingler(text)
+            for doc, s in zip(batch.column(0).to_pylist(), shingler.of(batch.column(1)), strict=True):
                 rows.append((doc, len(s), set_key(s), sketch(s) if len(s) >= similarity.smallest else None, None, None))
                 held.append(s)
                 size += len(s)
@@ -171,8 +170,7 @@ def signatures(docs: DataFrame, similarity: Similarity, hot: tuple[np.ndarray, n
         seen: set[int] = set()
         for batch in batches:
             out: list[tuple[np.ndarray, int, int]] = []
-            for text in batch.column(0).to_pylist():
-                s = shingler(text)
+            for s in shingler.of(batch.column(0)):
                 n = len(s)
                 if n < similarity.smallest or (node := set_key(s)) in seen:
                     continue
@@ -223,8 +221,9 @@ def node_texts(docs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: S
         for batch in batches:
             out = []
             h = (mix(batch.column(0).fill_null(-1).to_numpy().astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-            for text in batch.column(1).filter(pa.array((field[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool))).to_pylist():
-                node = set_key(shingler(text))
+            some = batch.column(1).filter(pa.array((field[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)))
+            for text, s in zip(some.to_pylist(), shingler.of(some), strict=True):
+                node = set_key(s)
                 if node not in seen:
                     seen.add(node)
                     out.append((node, text))
@@ -344,8 +343,7 @@ def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, sketches: DataFra
         hub, own = None, np.empty(0, np.uint64)
         for batch in batches:
             out = []
-            for h, block, place, node, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                s = shingler(text)
+            for h, block, place, node, s in zip(*(batch.column(i).to_pylist() for i in range(4)), shingler.of(batch.column(4)), strict=True):
                 if place == 0:
                     hub, own = (h, block), s
                 elif hub == (h, block) and similarity.linked(own, s):

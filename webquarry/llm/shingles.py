@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import xxhash
+import pyarrow as pa
 
 _P = np.uint64(0x9FB21C651E98DF25)
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -16,36 +18,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHasher:
-    """64-bit hashes of words, with a bounded memory of frequent ones."""
-
-    def __init__(self, memory: int = 400_000):
-        self.memory = memory
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        found = list(map(known.get, words))
-        at = -1
-        try:
-            while True:
-                at = found.index(None, at + 1)
-                w = words[at]
-                h = known.get(w)
-                if h is None:
-                    h = xxhash.xxh3_64_intdigest(w)
-                    if len(known) >= self.memory:
-                        known.clear()
-                    known[w] = h
-                found[at] = h
-        except ValueError:
-            pass
-        return np.array(found, dtype=np.uint64)
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words: A-Z lower-cased, split at the ASCII white space 20 and 09 to 0D."""
-    return (text or b"").lower().split()
+#: A number for each byte, A-Z as a-z; and which bytes part words (20 and 09 to 0D).
+_BYTES = mix(np.array([b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], dtype=np.uint64) * _P)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BASE = 0x5851F42D4C957F2D
+#: Bytes that are hashed at once, unless one text is longer.
+_PIECE = 1 << 20
+
+
+class Words:
+    """64-bit hashes of the words of texts: A-Z lower-cased, split at the ASCII white space 20 and 09 to 0D.
+
+    A word's hash is a difference of prefix sums of a polynomial in its bytes, so that all words of many texts are hashed
+    at once and no word is an object.
+    """
+
+    def __init__(self) -> None:
+        self.powers = self.inverses = np.empty(0, dtype=np.uint64)
+
+    def _tables(self, n: int) -> None:
+        if len(self.powers) < n:
+            ones = [np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, dtype=np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+            self.powers, self.inverses = (np.cumprod(x, dtype=np.uint64) for x in ones)
+
+    def _hash(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        n = len(data)
+        if not n:
+            return [np.empty(0, np.uint64)] * (len(offsets) - 1)
+        self._tables(max(n, _PIECE))
+        word = ~_SPACE[data]
+        first = np.zeros(n + 1, dtype=bool)
+        first[offsets] = True
+        starts = np.flatnonzero(word & (first[:-1] | np.concatenate([[True], ~word[:-1]])))
+        ends = np.flatnonzero(word & (first[1:] | np.concatenate([~word[1:], [True]]))) + 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * self.powers[:n], dtype=np.uint64)])
+        hashes = mix((sums[ends] - sums[starts]) * self.inverses[starts])
+        return np.split(hashes, np.searchsorted(starts, offsets[1:-1]))
+
+    def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The hashes of the words of each text of a binary column; none for nulls."""
+        if column.null_count:
+            column = column.fill_null(b"")
+        if not len(column):
+            return
+        if pa.types.is_large_binary(column.type):
+            column = column.cast(pa.binary())
+        _, places, values = column.buffers()
+        offsets = np.frombuffer(places, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(values, dtype=np.uint8) if values is not None else np.empty(0, np.uint8)
+        at = 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _PIECE, side="right")) - 1)
+            yield from self._hash(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            at = to
 
 
 def positions(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -61,13 +86,14 @@ def positions(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class Shingler:
-    """The set of shingles of a text, sorted."""
+    """The sets of shingles of texts, sorted."""
 
     def __init__(self, width: int):
-        self.width, self.hasher = width, WordHasher()
+        self.width, self.words = width, Words()
 
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        return np.unique(positions(self.hasher(words_of(text)), self.width))
+    def of(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The set of each text of a binary column."""
+        return (np.unique(positions(x, self.width)) for x in self.words(column))
 
 
 def set_key(shingles: np.ndarray) -> int:
