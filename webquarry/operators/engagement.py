@@ -191,7 +191,7 @@ RULES = {"orientation": orientation, "navigation": navigation, "hierarchy": hier
 
 def engagement_findings(page: DataFrame, threshold: float = 0.7) -> DataFrame:
     """All rules on pages with their homepages; filtered by confidence, repeated ones left out."""
-    homed = with_home(page)
+    homed = page if "home_id" in page.columns else with_home(page)
     return fnd.distinct_within_skill(fnd.confident(fnd.union([rule(homed) for rule in RULES.values()]), threshold))
 
 

@@ -76,8 +76,8 @@ def parse_pages(pages: DataFrame, partitions: int | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema=shape)
 
     parsed = rows.select(*kept, "html", "rendered_html").mapInArrow(run, schema)
-    first = parsed.groupBy("site", "url").agg(F.min("page_id").alias("page_id"))
-    keyed = parsed.join(first, ["site", "url", "page_id"], "left_semi") if "page_id" in parsed.columns else parsed
+    first = rows.groupBy("site", "url").agg(F.min("page_id").alias("page_id"))  # from the raw rows, so that pages are parsed once
+    keyed = parsed.join(first, ["site", "url", "page_id"], "left_semi")
     u = F.col("url")
     return keyed.withColumns({"url_norm": urls.normalize(u), "url_key": urls.equivalence_key(u), "canonical": urls.canonical(u), "locale": urls.locale(u), "is_locale_root": urls.is_locale_root(u), "n_words": words(F.col("body_text"))})
 

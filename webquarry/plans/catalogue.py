@@ -12,6 +12,7 @@ from ..functions import urls
 from ..operators import consistency, crawl, engagement, findings as fnd, relations, technical, trust
 from ..sources import robots, sitemap
 from . import audit, fixtures
+from .storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,7 +40,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def homed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engagement.with_home(parsed(spark, sf_dir))
+    return stored(engagement.with_home(stored(parsed(spark, sf_dir), "parsed")), "pages")
 
 
 # SQL of page features: the synthetic pages have one layout, so that patterns read them as the parser does.
@@ -226,7 +227,7 @@ def crawl_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PAGES} SELECT host AS site, norm AS canonical, 0 AS depth FROM d JOIN h USING (host) WHERE page_id = home_id")
 def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = parsed(spark, sf_dir).persist()
+    page = stored(parsed(spark, sf_dir), "parsed")
     return crawl.crawl(page, relations.homepages(page).select("site", F.col("home_url").alias("url"))).select("site", "canonical", "depth")
 
 
@@ -267,7 +268,7 @@ def eng_012_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT host AS site, count(*) AS pages_audited, CAST(sum(coalesce(c, 0)) AS BIGINT) AS internal_link_count, CAST(0 AS BIGINT) AS external_link_count, CAST(1.0 AS DOUBLE) AS avg_headings_per_page
     FROM d LEFT JOIN (SELECT page_id, count(*) AS c FROM links GROUP BY 1) USING (page_id) GROUP BY 1""")
 def engagement_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = parsed(spark, sf_dir)
+    page = stored(parsed(spark, sf_dir), "parsed")
     empty = fnd.made(page.limit(0), fnd.order(3, 0), "engagement", "", "engagement", "", "low", 0.9, F.col("url"), F.array("url"), "")
     return engagement.metrics(page, empty).select("site", "pages_audited", "internal_link_count", "external_link_count", "avg_headings_per_page")
 
@@ -280,13 +281,13 @@ _ENG = [
 
 @query(f"SELECT site, id, CAST(n AS BIGINT) AS n FROM {_values(_ENG, 'site, id, n')}")
 def engagement_findings_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = relations.parse_pages(fixtures.pages(spark)).persist()
+    page = stored(relations.parse_pages(fixtures.pages(spark)), "parsed")
     return engagement.engagement_findings(page).groupBy("site", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT site, canonical, CAST(n_in AS BIGINT) AS n_in FROM {_values([('docs.kites.io', 'https://docs.kites.io/de', 0), ('docs.kites.io', 'https://docs.kites.io/en', 1), ('docs.kites.io', 'https://docs.kites.io/en/start', 1), ('kites.io', 'https://kites.io', 3), ('kites.io', 'https://kites.io/about', 3), ('kites.io', 'https://kites.io/pricing', 3), ('kites.io', 'https://kites.io/blog/news', 0), ('kites.io', 'https://kites.io/gone', 0), ('kites.io', 'https://kites.io/loop', 0)], 'site, canonical, n_in')}")
 def in_links_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engagement.in_links(relations.parse_pages(fixtures.pages(spark)).filter("site <> 'home.dev'").persist())
+    return engagement.in_links(stored(relations.parse_pages(fixtures.pages(spark)).filter("site <> 'home.dev'"), "parsed"))
 
 
 # Entity, clarity, freshness
@@ -308,13 +309,13 @@ _TRUST = [("docs.kites.io", "CC-003", "high"), ("home.dev", "CC-003", "high"), (
 
 @query(f"SELECT site, id, severity FROM {_values(_TRUST, 'site, id, severity')}")
 def trust_findings_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = engagement.with_home(relations.parse_pages(fixtures.pages(spark))).persist()
+    page = stored(engagement.with_home(stored(relations.parse_pages(fixtures.pages(spark)), "parsed")), "pages")
     return fnd.union([trust.entity_findings(trust.entities(page)), trust.clarity_findings(page), trust.freshness_findings(page)]).select("site", "id", "severity")
 
 
 @query(f"SELECT site, name, type, industry, location, CAST(founding_year AS INTEGER) AS founding_year, contact_email, confidence_score FROM {_values([('kites.io', 'Northwind Kites', 'Organization', 'software', 'Leeds, UK', 2004, 'hello@kites.io', 0.92), ('docs.kites.io', 'Kites', 'Organization', None, None, None, 'hello@kites.io', 0.5), ('home.dev', 'Home', 'Organization', None, None, None, None, 0.5)], 'site, name, type, industry, location, founding_year, contact_email, confidence_score')} WHERE site = 'kites.io'")
 def entity_profile_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = engagement.with_home(relations.parse_pages(fixtures.pages(spark)).filter("site = 'kites.io'")).persist()
+    page = stored(engagement.with_home(stored(relations.parse_pages(fixtures.pages(spark)).filter("site = 'kites.io'"), "parsed")), "pages")
     return trust.profiles(trust.entities(page)).select("site", "name", "type", "industry", "location", "founding_year", "contact_email", "confidence_score")
 
 
