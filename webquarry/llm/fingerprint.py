@@ -34,15 +34,17 @@ class WeightedSampler:
     16-bit hash of (term, t).  Two signatures agree in a sample with the probability sum(min) / sum(max) of the
     weights, the generalised Jaccard similarity (and 2**-16 by chance).
 
-    The draws of frequent terms are remembered; ``memory`` bounds their number.
+    The draws of the terms met most are remembered; ``memory`` bounds their number.
     """
 
-    def __init__(self, samples: int = 128, seed: int = 42, memory: int = 30_000):
+    def __init__(self, samples: int = 128, seed: int = 42, memory: int = 50_000):
         self.samples, self.memory = samples, memory
         self.salts = _mix(np.arange(1, samples + 1, dtype=np.uint64) * _GOLDEN + np.uint64(seed))
         self.rows: dict[bytes, int] = {}
-        self.once = np.empty((memory, samples), dtype=np.float32)
+        #: For each remembered term: ln a at weight 1, and r, b and ln c.
+        self.once, self.r, self.b, self.log_c = (np.empty((memory, samples), dtype=np.float32) for _ in range(4))
         self.hashes = np.empty(memory, dtype=np.uint64)
+        self.uses = np.zeros(memory, dtype=np.int64)
 
     def draws(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """r, b and ln c for each term and sample."""
@@ -54,52 +56,77 @@ class WeightedSampler:
         c = -np.log(unit(g, 0) * unit(g, 21))
         return r, unit(h, 42), np.log(c)
 
-    def _weight_one(self, terms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """ln a at weight 1 for each term and sample, and the hashes of the terms."""
-        rows = self.rows
-        missing = [x for x in terms if x not in rows]
-        if len(missing) + len(rows) > self.memory:
-            rows.clear()
-            missing = terms
-        if len(missing) > self.memory:  # a text of more terms than can be remembered
-            hashes = np.fromiter((xxhash.xxh64_intdigest(x) for x in terms), np.uint64, len(terms))
-            return np.concatenate([self._once(hashes[i : i + 4096]) for i in range(0, len(hashes), 4096)]), hashes
+    def _forget(self) -> None:
+        """Keeps the half of the terms that was met most; their numbers of uses are halved."""
+        n, half = len(self.rows), self.memory // 2
+        keep = np.sort(np.argpartition(-self.uses[:n], half - 1)[:half]) if n > half else np.arange(n)
+        for table in (self.once, self.r, self.b, self.log_c, self.hashes):
+            table[: len(keep)] = table[keep]
+        self.uses[: len(keep)] = self.uses[keep] >> 1
+        self.uses[len(keep) :] = 0
+        terms = list(self.rows)
+        self.rows = {terms[k]: i for i, k in enumerate(keep.tolist())}
+
+    def _places(self, terms: list[bytes]) -> np.ndarray | None:
+        """The rows of the terms; none where they are too many to remember."""
+        if len(terms) > self.memory // 2:
+            return None
+        missing = [x for x in terms if x not in self.rows]
+        if len(missing) + len(self.rows) > self.memory:
+            self._forget()
+            missing = [x for x in terms if x not in self.rows]
         if missing:
             hashes = np.fromiter((xxhash.xxh64_intdigest(x) for x in missing), np.uint64, len(missing))
-            n = len(rows)
+            n = len(self.rows)
             for i in range(0, len(missing), 4096):
-                self.once[n + i : n + min(i + 4096, len(missing))] = self._once(hashes[i : i + 4096])
+                part = slice(n + i, n + min(i + 4096, len(missing)))
+                r, b, log_c = self.draws(hashes[i : i + 4096])
+                self.r[part], self.b[part], self.log_c[part] = r, b, log_c
+                self.once[part] = log_c - r * (np.float32(1) - b)
             self.hashes[n : n + len(missing)] = hashes
-            rows.update(zip(missing, range(n, n + len(missing)), strict=True))
-        at = np.fromiter((rows[x] for x in terms), np.int64, len(terms))
-        return self.once[at], self.hashes[at]
+            self.rows.update(zip(missing, range(n, n + len(missing)), strict=True))
+        at = np.fromiter(map(self.rows.__getitem__, terms), np.int64, len(terms))
+        self.uses[at] += 1
+        return at
 
-    def _once(self, hashes: np.ndarray) -> np.ndarray:
-        r, b, log_c = self.draws(hashes)
-        return log_c - r * (np.float32(1) - b)
+    def _least(self, once: np.ndarray, hashes: np.ndarray, weights: np.ndarray, heavy: np.ndarray, of_heavy: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each sample the least ln a, and hash and t of its term."""
+        t = np.zeros(self.samples, dtype=np.int64)
+        every = np.arange(self.samples)
+        if len(heavy):
+            r, b, log_c = of_heavy
+            ts = np.floor(np.log(weights[heavy].astype(np.float32))[:, None] / r + b)
+            once[heavy] = log_c - r * (ts - b + np.float32(1))
+        least = np.argmin(once, axis=0)
+        if len(heavy):
+            where = np.full(len(weights), -1)
+            where[heavy] = np.arange(len(heavy))
+            row = where[least]
+            t = np.where(row >= 0, ts[row, every], 0).astype(np.int64)
+        return once[least, every], hashes[least], t
 
     def __call__(self, weights: dict[bytes, int]) -> np.ndarray:
         """The signature of a weighted set: ``samples`` unsigned 16-bit numbers; all EMPTY without terms."""
         if not weights:
             return np.full(self.samples, EMPTY, dtype=np.uint16)
         terms = list(weights)
-        log_a, hashes = self._weight_one(terms)
-        t = np.zeros(self.samples, dtype=np.int64)
-        heavy = [i for i, x in enumerate(terms) if weights[x] > 1]
-        ts = None
-        if heavy:
-            at = np.array(heavy)
-            r, b, log_c = self.draws(hashes[at])
-            log_s = np.log(np.fromiter((weights[terms[i]] for i in heavy), np.float32, len(heavy)))
-            ts = np.floor(log_s[:, None] / r + b)
-            log_a[at] = log_c - r * (ts - b + np.float32(1))
-        least = np.argmin(log_a, axis=0)
-        if ts is not None:
-            where = np.full(len(terms), -1)
-            where[at] = np.arange(len(at))
-            row = where[least]
-            t = np.where(row >= 0, ts[row, np.arange(self.samples)], 0).astype(np.int64)
-        mixed = _mix(hashes[least] + t.astype(np.uint64) * _GOLDEN + self.salts)
+        counts = np.fromiter(weights.values(), np.int64, len(terms))
+        at = self._places(terms)
+        if at is not None:
+            heavy = np.flatnonzero(counts > 1)
+            own = at[heavy]
+            _, hashes, t = self._least(self.once[at], self.hashes[at], counts, heavy, (self.r[own], self.b[own], self.log_c[own]))
+        else:  # a text of more terms than can be remembered, by parts
+            best = np.full(self.samples, np.inf, dtype=np.float32)
+            hashes, t = np.zeros(self.samples, dtype=np.uint64), np.zeros(self.samples, dtype=np.int64)
+            for i in range(0, len(terms), 4096):
+                part = np.fromiter((xxhash.xxh64_intdigest(x) for x in terms[i : i + 4096]), np.uint64, len(terms[i : i + 4096]))
+                r, b, log_c = self.draws(part)
+                heavy = np.flatnonzero(counts[i : i + 4096] > 1)
+                a, h, x = self._least(log_c - r * (np.float32(1) - b), part, counts[i : i + 4096], heavy, (r[heavy], b[heavy], log_c[heavy]))
+                better = a < best
+                best, hashes, t = np.where(better, a, best), np.where(better, h, hashes), np.where(better, x, t)
+        mixed = _mix(hashes + t.astype(np.uint64) * _GOLDEN + self.salts)
         return (mixed & np.uint64(0xFFFF)).astype(np.uint16)
 
 
