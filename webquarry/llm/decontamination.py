@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .session import materialize
 
+#: Bytes of the items' shingles up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 #: Rows of the index up to which it is broadcast (16 bytes each); a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -96,6 +98,8 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, threshold: f
     candidates = materialize(probes.distinct(), "candidates")
     # Candidates get their texts back, and are held against the words themselves.
     held = rows.join(candidates, rows.doc_id.eqNullSafe(candidates.doc_id)).select(rows.doc_id, "text", "item_id")
+    size = table.agg(F.sum(F.octet_length(F.array_join("shingles", "")))).first()[0] or 0
+    small = small and size <= BROADCAST_BYTES
     own = table.select(F.col("item_id").alias("own_id"), "shingles", "width", F.col("n").alias("n_item_shingles"))
     held = held.join(F.broadcast(own) if small else own, F.col("item_id").eqNullSafe(F.col("own_id")))
     # Written before it is filtered: a filter on the containment would be pushed below the words and split them again.

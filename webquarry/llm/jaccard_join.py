@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .lm import count_bin
-from .session import materialize, trimmed, tune
+from .session import materialize, release, trimmed, tune
 from .shingles import Shingler, mix, set_key
 
 #: Frequent tokens that are ordered last, at most (16 bytes each are broadcast); the order only bears on the cost.
@@ -90,8 +90,8 @@ def could_link(a: bytes, n: int, b: bytes, m: int, similarity: Similarity) -> bo
     return similarity.of * most >= similarity.least * (n + m - most)
 
 
-def describe(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame]:
-    """From ``doc_id, text (binary)``: one table of ``doc_id, n, node, sketch``, and one of ``token, c`` of repeated tokens.
+def describe(docs: DataFrame, similarity: Similarity) -> DataFrame:
+    """From ``doc_id, text (binary)``: rows of ``doc_id, n, node, sketch``, and rows of ``token, c`` of repeated tokens.
 
     Tokens are counted within stretches of a few million; those seen more than once in one are reported.
     """
@@ -125,8 +125,7 @@ def describe(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFr
                 size = 0
         yield from flush()
 
-    found = materialize(docs.mapInArrow(trimmed(run), "doc_id long, n long, node long, sketch binary, token long, c long"), "sets")
-    return found.filter("node IS NOT NULL").select("doc_id", "n", "node", "sketch"), found.filter("token IS NOT NULL").groupBy("token").agg(F.sum("c").alias("c"))
+    return materialize(docs.mapInArrow(trimmed(run), "doc_id long, n long, node long, sketch binary, token long, c long"), "sets")
 
 
 def hot_tokens(repeated: DataFrame, most: int = HOT_TOKENS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -140,6 +139,7 @@ def hot_tokens(repeated: DataFrame, most: int = HOT_TOKENS) -> tuple[np.ndarray,
     rows = repeated.filter(count_bin(F.col("c")) >= least).select("token", "c").toArrow()
     token, c = rows.column("token").to_numpy().astype(np.uint64), rows.column("c").to_numpy()
     by = np.argsort(token)
+    release(repeated)
     rest = [(n, s) for b, (n, s) in bins.items() if b < least]
     return token[by], c[by], sum(s for _, s in rest) / max(1, sum(n for n, _ in rest))
 
@@ -214,7 +214,9 @@ def node_filter(nodes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 def node_texts(docs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: Similarity) -> DataFrame:
     """``node, text`` for the nodes of a table: one text of each, without shuffling other texts."""
     ids = rows.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    shared = docs.sparkSession.sparkContext.broadcast(node_filter(materialize(ids.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")), "ids")))
+    ids = materialize(ids.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")), "ids")
+    shared = docs.sparkSession.sparkContext.broadcast(node_filter(ids))
+    release(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, field, seen = Shingler(similarity.width), shared.value, set()
@@ -351,7 +353,9 @@ def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, sketches: DataFra
             if out:
                 yield _batches(out, [pa.int64(), pa.int64()], ["a", "b"])
 
-    return sorted_.mapInArrow(trimmed(run), "a long, b long")
+    linked = materialize(sorted_.mapInArrow(trimmed(run), "a long, b long"), "linked")
+    release(pairs, nodes, texts)
+    return linked
 
 
 def docs_partitions(df: DataFrame) -> int:
@@ -359,7 +363,7 @@ def docs_partitions(df: DataFrame) -> int:
 
 
 def links(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, n, node`` of each row, and the components ``node, component`` of nodes linked to others.
+    """``doc_id, n, node`` of each row (a written table), and the components ``node, component`` of nodes linked to others.
 
     First each node is verified against one hub of each list and size class.  Then, in lists whose nodes aren't all
     in one component yet, every two nodes of different components and fitting sizes are held against each other.  What
@@ -367,8 +371,9 @@ def links(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame
     """
     spark = docs.sparkSession
     tune(spark)
-    rows, repeated = describe(docs, similarity)
-    tokens, counts, list_length = hot_tokens(repeated)
+    described = describe(docs, similarity)
+    rows = described.filter("node IS NOT NULL").select("doc_id", "n", "node", "sketch")
+    tokens, counts, list_length = hot_tokens(described.filter("token IS NOT NULL").groupBy("token").agg(F.sum("c").alias("c")))
     sizes = {r.n: r["count"] for r in rows.filter(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}
     light = boundary(sizes, similarity, list_length)
 
@@ -386,15 +391,21 @@ def links(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame
     sketches = materialize(rows.filter("sketch IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
 
     stars = ranked.filter("hub <> node").select("hub", "node").distinct()
-    first = materialize(verify(stars, docs, rows, sketches, similarity), "first")
+    first = verify(stars, docs, rows, sketches, similarity)
+    release(degrees)
     tied = materialize(components(first), "tied")
 
     labelled = lists.select("token", "node", "n").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = materialize(labelled, "labelled")
+    release(lists, tied)
     several = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k")).filter("low <> high").select("token", "k")
-    pairs = within_lists(labelled.join(materialize(several, "several"), "token"), sketches, similarity).distinct()
+    several = materialize(several, "several")
+    pairs = within_lists(labelled.join(several, "token"), sketches, similarity).distinct()
     second = verify(pairs, docs, rows, sketches, similarity)
-    return rows, components(first.unionByName(second))
+    tied = materialize(components(first.unionByName(second)), "tied")
+    slim = materialize(rows.select("doc_id", "n", "node"), "rows")
+    release(labelled, several, sketches, first, second, described)
+    return slim, tied
 
 
 def classes(docs: DataFrame, similarity: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -412,4 +423,7 @@ def classes(docs: DataFrame, similarity: Similarity = Similarity(), id_col: str
     smallest = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     ids = materialize(named.join(smallest, "component").select("node", "component_id"), "ids")
     empty = rows.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.filter("n > 0").join(ids, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    found = rows.filter("n > 0").join(ids, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    found = materialize(found, "classes")
+    release(rows, tied, named, smallest, ids)
+    return found

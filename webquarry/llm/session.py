@@ -96,3 +96,11 @@ def release(*tables: DataFrame) -> None:
             jvm = df.sparkSession.sparkContext._jvm
             folder = jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

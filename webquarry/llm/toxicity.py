@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, kind: Features = Features(), rates:
 
     Beyond that number the rows with the smallest hashes of their ids are taken, so that the training set, the one
     task that learns and the broadcast of its ids are bounded at any input size.  Rows without id, label or document
-    are left out; of an id with several labels the greatest counts.  Without any rows all scores are 0.5.
+    are left out; of an id with several labels the greatest counts, of one with several texts the least.  Without any rows all scores are 0.5.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, kind: Features = Features(), rates:
     if n > most_rows:
         share = int((1 << 32) * 0.98 * most_rows / n)
         known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 32)) < share)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(known), "_id").select("_id", "_text", "_label")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(known), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_label").alias("_label"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(kind)
