@@ -200,10 +200,10 @@ _ALLOWED = [("https://kites.io/secret/plan", False), ("https://kites.io/blog/a",
 _ALLOWED_ANY = [("https://kites.io/secret/plan", True), ("https://kites.io/private/x", False), ("https://kites.io/private/open/y", True), ("https://kites.io/a.pdf", False), ("https://kites.io/a.pdf?x=1", True)]
 
 
-@query(f"SELECT agent, url, allowed FROM {_values([('BrandAuditBot/1.0', *r) for r in _ALLOWED] + [('curl/8', *r) for r in _ALLOWED_ANY], 'agent, url, allowed')}")
+@query(f"SELECT agent, url, allowed FROM {_values([('WebquarryBot/1.0', *r) for r in _ALLOWED] + [('curl/8', *r) for r in _ALLOWED_ANY], 'agent, url, allowed')}")
 def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
-    for agent, rows in (("BrandAuditBot/1.0", _ALLOWED), ("curl/8", _ALLOWED_ANY)):
+    for agent, rows in (("WebquarryBot/1.0", _ALLOWED), ("curl/8", _ALLOWED_ANY)):
         pages = spark.createDataFrame([("kites.io", i, r[0]) for i, r in enumerate(rows)], "site string, page_id long, url string")
         parts.append(robots.allowed(pages, fixtures.robots(spark), agent).select(F.lit(agent).alias("agent"), "url", "allowed"))
     return fnd.union(parts)

@@ -32,7 +32,7 @@ URLS = [
     "https://example.com//", "http://example.com:99999/", "http://172.16.0.9", "http://172.32.0.9", "example.com:8080",
 ]
 
-ROBOTS = [("kites.io", 200, "# rules\nUser-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow: /*.pdf$\n\nUser-agent: BrandAuditBot\nUser-agent: otherbot\nDisallow: /secret\nDisallow: /blog\nAllow: /blog/news\nCrawl-delay: 12\nSitemap: https://kites.io/sitemap.xml", None), ("home.dev", 404, None, None), ("docs.kites.io", 500, None, "timeout")]
+ROBOTS = [("kites.io", 200, "# rules\nUser-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow: /*.pdf$\n\nUser-agent: WebquarryBot\nUser-agent: otherbot\nDisallow: /secret\nDisallow: /blog\nAllow: /blog/news\nCrawl-delay: 12\nSitemap: https://kites.io/sitemap.xml", None), ("home.dev", 404, None, None), ("docs.kites.io", 500, None, "timeout")]
 SITEMAPS = [
     ("kites.io", "https://kites.io/sitemap.xml", 200, '<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>https://kites.io/pages.xml</loc></sitemap></sitemapindex>'),
     ("kites.io", "https://kites.io/pages.xml", 200, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://kites.io/</loc></url><url><loc>https://kites.io/pricing/</loc></url><url><loc>https://kites.io/about</loc></url></urlset>'),
