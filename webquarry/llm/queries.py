@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -41,7 +42,9 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
-    return round_trip(table(spark, sf_dir, "pages")).drop("verified")
+    # A record that could not be verified shows no digest.
+    found = round_trip(table(spark, sf_dir, "pages"))
+    return found.withColumn("payload_digest", F.when(F.col("verified"), F.col("payload_digest"))).drop("verified")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
