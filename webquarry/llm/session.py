@@ -31,6 +31,19 @@ def keeps(module: str, drop: Callable[[], None]) -> None:
     _kept[module] = drop
 
 
+#: Tasks of each module that ended in this worker.
+_ended: dict[str, int] = {}
+
+
+def _collect(module: str) -> None:
+    """Collects garbage.  What is left after the first two tasks of a module, above all imported code, is left out of later
+    collections: looking through it took over 0.1 s a task.  Pickled by name, so that it sees the worker's own ``_ended``."""
+    gc.collect()
+    _ended[module] = _ended.get(module, 0) + 1
+    if _ended[module] <= 2:
+        gc.freeze()
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function of batches after which the worker gives its free memory back: workers live on from stage to stage."""
 
@@ -41,7 +54,7 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
         try:
             yield from run(batches)
         finally:
-            gc.collect()
+            _collect(run.__module__)
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
             except (OSError, AttributeError):  # another C library
