@@ -77,6 +77,48 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def _merkle_sql(levels: int = 8, upper: int = 4) -> str:
+    """The manifest, level by level: right for groups of up to 8 ** levels rows, and 8 ** upper groups."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    letters = "list_transform(list_filter(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: x <> ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    crc = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {letters}), lambda c, b: {bits}), 4294967295)"
+    field = lambda x: f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR), '-')"
+    row = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"l AS (SELECT doc_id, coalesce('+' || lang, '') AS g, {row('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {row(lowered)} END AS changed FROM documents)",
+        "n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS c, row_number() OVER () AS r FROM l)",
+        "t0 AS (SELECT g, i, c, leaf AS h FROM n)",
+    ]
+    up = "SELECT {g}, i // 8 AS i, (any_value(c) + 7) // 8 AS c, CASE WHEN any_value(c) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {of} GROUP BY {g}, i // 8"
+    parts += [f"t{k + 1} AS ({up.format(g='g', of=f't{k}')})" for k in range(levels)]
+    parts.append(f"u0 AS (SELECT 'all' AS o, g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS c, h FROM t{levels})")
+    parts += [f"u{k + 1} AS ({up.format(g='o', of=f'u{k}')})" for k in range(upper)]
+    step = (
+        "SELECT r, any_value(p.g) AS g, any_value(p.i) // 8 AS i, CASE WHEN any_value(n.c) = 1 THEN any_value(cur) ELSE sha256(string_agg(CASE WHEN n.i = p.i THEN cur ELSE n.h END, '' ORDER BY n.i)) END AS cur, "
+        "any_value(proof) || coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (WHERE n.i <> p.i), '') AS proof FROM {p} p JOIN {n} n ON {on} AND n.i // 8 = p.i // 8 GROUP BY r"
+    )
+    parts.append("p0 AS (SELECT r, g, i, coalesce(changed, leaf) AS cur, '' AS proof FROM n)")
+    parts += [f"p{k + 1} AS ({step.format(p=f'p{k}', n=f't{k}', on='n.g = p.g')})" for k in range(levels)]
+    parts.append(f"q0 AS (SELECT r, p.g, u0.i, cur, proof FROM p{levels} p JOIN u0 ON u0.g = p.g)")
+    parts += [f"q{k + 1} AS ({step.format(p=f'q{k}', n=f'u{k}', on='true')})" for k in range(upper)]
+    return f"""WITH {", ".join(parts)}
+        SELECT n.doc_id, n.leaf, s.h AS subroot, u.h AS root, sha256(q.proof) AS proof_sha256, q.cur AS folded_root, q.cur = u.h AS verified
+        FROM n JOIN q{upper} q USING (r) JOIN t{levels} s ON s.g = n.g, u{upper} u"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -88,6 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_language_model": op10_language_model,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -127,4 +171,5 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM f""",
+    "op12_merkle_manifest": _merkle_sql(),
 }
