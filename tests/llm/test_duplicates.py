@@ -232,3 +232,48 @@ def test_decontamination_equals_brute_force(spark):
 
 def test_passage_options():
     assert Passages().tokens == 46
+
+
+def test_windows_of_batches_are_those_of_the_trees():
+    rng, passages = np.random.default_rng(0), Passages()
+    for trial in range(8):
+        texts = []
+        for _ in range(20):
+            x = rng.integers(0, int(rng.choice([1, 2, 5, 50, 5000])), int(rng.integers(50, 400))).astype(np.uint32)
+            if rng.random() < 0.3:
+                x[20:80] = 7
+            texts.append(x)
+        tokens = np.unique(np.concatenate([substring_dedup._shingles(x, passages.width) for x in texts]))
+        hot = np.sort(rng.choice(tokens, len(tokens) // 3, replace=False)) if trial % 2 else None
+        *made, text = substring_dedup.batch_windows(texts, passages, hot)
+        for i, x in enumerate(texts):
+            want = sorted(zip(*(m.tolist() for m in substring_dedup.compact_windows(x, passages, hot)), strict=True))
+            assert sorted(zip(*(m[text == i].tolist() for m in made), strict=True)) == want
+
+
+def test_hash_functions_are_independent():
+    rng, few, same, trials = np.random.default_rng(1), 0, 0, 6000
+    for _ in range(trials):
+        s = rng.integers(1, 1 << 62, 51).astype(np.uint64)
+        least = [int(substring_dedup._order(s, f, np.ones(51, np.uint64)).argmin()) for f in range(5)]
+        few += sum(c < 41 for c in least) < 2
+        same += least[0] == least[2]
+    assert few / trials < 0.012 and same / trials < 0.04
+
+
+@pytest.mark.parametrize("members", [8, 300])
+def test_recall_of_near_passages(spark, members):
+    """Pairs of passages of 60 words at similarity 0.8 and a bit more, in groups that share a line: inside small and large groups."""
+    rng = random.Random(members)
+    line = [f"l{k}" for k in range(40)]
+    rows, pairs = [], []
+    for i in range(members):
+        own = [f"p{i}x{k}" for k in range(60)]
+        edited = own.copy()
+        edited[rng.choice([18, 30, 41])] = "changed"  # 5 of 56 shingles on either side: 51 / 61
+        rows += [(2 * i, [f"a{i}x{k}" for k in range(rng.randint(0, 9))] + line + own), (2 * i + 1, line + edited + [f"b{i}x{k}" for k in range(rng.randint(0, 9))])]
+        pairs.append((2 * i + 1, 2 * i))
+    got = {(r.doc_id, r.source_doc_id) for r in repeated_passages(spark.createDataFrame([(i, " ".join(w), "x") for i, w in rows], SCHEMA).repartition(4)).collect()}
+    recall = len(got & set(pairs)) / len(pairs)
+    print(f"recall of near passages in groups of {2 * members}: {recall:.3f}")
+    assert recall > 0.95
