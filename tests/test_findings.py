@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from webquarry.operators import consistency, findings as fnd, relations, trust
+from webquarry.operators import findings as fnd, relations, trust
 from webquarry.plans import fixtures
 from webquarry.plans.audit import known_urls, raw_findings
 
@@ -37,17 +37,6 @@ def test_equivalent_findings_merge_once(raw):
     assert key(once) == key(again)
 
 
-def test_conflict_expression_equals_python(spark):
-    table = consistency.cluster_table(consistency.clusters(fixtures.facts(spark)))
-    a, b = table.alias("a"), table.alias("b")
-    same = (F.col("a.site") == F.col("b.site")) & (F.col("a.fact_type") == F.col("b.fact_type")) & (F.col("a.cluster") < F.col("b.cluster"))
-    fields = {"canonical_value": "first_value", "numeric_value": "first_number", "currency": "first_currency", "fee_category": "first_fee"}
-    rows = a.join(b, same).select(F.col("a.fact_type").alias("kind"), consistency.conflict_condition("a", "b").alias("found"), *[F.col(f"{x}.{c}").alias(f"{x}_{n}") for x in "ab" for n, c in fields.items()]).collect()
-    assert rows
-    for r in rows:
-        assert r.found == consistency.in_conflict(r.kind, *({n: r[f"{x}_{n}"] for n in fields} for x in "ab"))
-
-
 def test_hot_sites_keep_all_strings(spark):
     """More than 1000 links, and offerings of which the services come last."""
     links = [(1, [f"u{i}" for i in range(700)]), (2, [f"u{i}" for i in range(600, 1500)])]

@@ -6,7 +6,7 @@ import json
 import re
 from typing import Any
 
-from . import facts, lexicons as lex, markup, urls
+from . import lexicons as lex, markup, urls
 
 PAGE_SCHEMA = (
     "title string, description string, canonical_url string, robots_meta string, open_graph map<string,string>, twitter_card map<string,string>, extra map<string,string>, "
@@ -16,7 +16,7 @@ PAGE_SCHEMA = (
     "copyright_statements array<string>, emails array<string>, phones array<string>, social_links array<string>, json_ld array<string>, "
     "organizations array<struct<type:string,name:string,description:string,email:string,phone:string,founding_year:int,address:string,same_as:array<string>>>, "
     "offerings array<string>, has_address boolean, has_contact boolean, "
-    "facts array<struct<fact_type:string,raw_value:string,canonical_value:string,numeric_value:double,currency:string,fee_category:string,snippet:string,confidence:double>>, parse_error string"
+    "parse_error string"
 )
 
 _SPACE = re.compile(r"\s+")
@@ -89,7 +89,7 @@ def parse(url: str, html: str | None) -> dict[str, Any]:
     page: dict[str, Any] = {
         "title": None, "description": None, "canonical_url": None, "robots_meta": None, "open_graph": {}, "twitter_card": {}, "extra": {}, "headings": [], "links": [], "body_text": "", "n_scripts": 0,
         "meta_description": None, "meta_site_name": None, "meta_dates": {}, "h1s": [], "h2s": [], "clean_text": "", "footer_text": "", "nav_items": [], "paragraphs": [], "images": [],
-        "copyright_statements": [], "emails": [], "phones": [], "social_links": [], "json_ld": [], "organizations": [], "offerings": [], "has_address": False, "has_contact": False, "facts": [], "parse_error": None,
+        "copyright_statements": [], "emails": [], "phones": [], "social_links": [], "json_ld": [], "organizations": [], "offerings": [], "has_address": False, "has_contact": False, "parse_error": None,
     }
     if not html:
         return page
@@ -248,8 +248,6 @@ def parse(url: str, html: str | None) -> dict[str, Any]:
             _add(page["offerings"], str(x["name"]))
         page["has_address"] |= bool(x.get("address"))
         page["has_contact"] |= bool(x.get("telephone") or x.get("email"))
-        page["facts"].extend(facts.from_json_ld(x))
-    page["facts"].extend(facts.from_text(url, page["clean_text"], page["meta_site_name"]))
     return page
 
 
@@ -261,5 +259,4 @@ def parse_safely(url: str, html: str | None) -> dict[str, Any]:
         page = parse(url, None) | {"parse_error": f"{type(error).__name__}: {error}"}
     page["headings"] = [{"level": n, "text": t} for n, t in page["headings"]]
     page["links"] = [dict(zip(("url", "text", "is_internal", "rel"), x, strict=True)) for x in page["links"]]
-    page["facts"] = [x._asdict() for x in page["facts"]]
     return page

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
+from .numbering import numbered
 
 COLUMNS = ["site", "ord", "skill", "id", "category", "title", "severity", "confidence", "evidence", "affected_urls", "action_summary", "action_priority"]
 
@@ -84,7 +85,7 @@ def deduplicated(findings: DataFrame) -> DataFrame:
         F.min("ord").alias("ord"), first("skill"), first("id"), first("category"), first("title"), first("action_summary"), first("action_priority"),
         F.min_by("_rank", "ord").alias("_first_rank"), F.max("_rank").alias("_rank"), F.max_by("severity", "_rank").alias("severity"), F.max("confidence").alias("confidence"), all_.alias("_all"),
     )
-    evidence = F.aggregate(F.transform("_all", lambda x: x["evidence"]), F.lit(""), lambda a, e: F.when(a == "", e).when(F.contains(a, e), a).otherwise(F.concat(a, F.lit(" | "), e)))
+    evidence = F.aggregate(F.array_distinct(F.transform("_all", lambda x: x["evidence"])), F.lit(""), lambda a, e: F.when(a == "", e).when(F.contains(a, e), a).otherwise(F.concat(a, F.lit(" | "), e)))
     urls = F.array_distinct(F.flatten(F.transform("_all", lambda x: x["affected_urls"])))
     priority = F.when(F.col("_rank") > F.col("_first_rank"), F.col("severity")).otherwise(F.col("action_priority"))
     return merged.withColumns({"evidence": evidence, "affected_urls": urls, "action_priority": priority}).select(*COLUMNS)
@@ -92,8 +93,8 @@ def deduplicated(findings: DataFrame) -> DataFrame:
 
 def ranked(findings: DataFrame) -> DataFrame:
     """Adds ``place`` within the site: severity, then confidence, falling; then order."""
-    by = Window.partitionBy("site").orderBy(rank(F.col("severity")).desc(), F.col("confidence").desc(), "ord")
-    return findings.withColumn("place", F.row_number().over(by))
+    by = findings.withColumns({"_rank": -rank(F.col("severity")), "_sure": -F.col("confidence")})
+    return numbered(by, ["site"], ["_rank", "_sure", "ord"], "place").drop("_rank", "_sure")
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from ..functions import lexicons as lex
 from ..functions import urls
 from ..functions.page_parser import PAGE_SCHEMA, parse_safely
+from . import facts as fact_rows
 
 #: Optional columns of a table of fetched pages and their values where they are missing.
 DEFAULTS = {
@@ -50,7 +51,9 @@ def parse_pages(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """The wide page table: the fields of the parser, the fetch columns, and URL keys.
 
     The only Python step of an audit.  Pages are parsed where they are read; the html is not carried on.  Of pages of a
-    site with one URL the first is kept.
+    site with one URL that with the smallest id is kept, one without an id only where none has one; pages without a URL are all
+    kept, in the site that they name or else in the site ``''``.  Null and broken html is an empty page; rows that repeat
+    id and URL stay; an empty table gives an empty result.
     """
     spark = pages.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
@@ -76,8 +79,10 @@ def parse_pages(pages: DataFrame, partitions: int | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema=shape)
 
     parsed = rows.select(*kept, "html", "rendered_html").mapInArrow(run, schema)
-    first = rows.groupBy("site", "url").agg(F.min("page_id").alias("page_id"))  # from the raw rows, so that pages are parsed once
-    keyed = parsed.join(first, ["site", "url", "page_id"], "left_semi")
+    # From the raw rows, so that pages are parsed once.
+    first = rows.filter("url IS NOT NULL").groupBy(F.col("site").alias("_site"), F.col("url").alias("_url")).agg(F.min("page_id").alias("_id"))
+    named = parsed.filter("url IS NOT NULL").join(first, (F.col("site") == F.col("_site")) & (F.col("url") == F.col("_url")) & F.col("page_id").eqNullSafe(F.col("_id")), "left_semi")
+    keyed = named.unionByName(parsed.filter("url IS NULL"))
     u = F.col("url")
     return keyed.withColumns({"url_norm": urls.normalize(u), "url_key": urls.equivalence_key(u), "canonical": urls.canonical(u), "locale": urls.locale(u), "is_locale_root": urls.is_locale_root(u), "n_words": words(F.col("body_text"))})
 
@@ -116,9 +121,8 @@ def json_ld(page: DataFrame) -> DataFrame:
 
 
 def facts(page: DataFrame) -> DataFrame:
-    """One row per fact; ``ord`` is the order of facts of a site."""
-    rows = page.select("site", "page_id", "url", F.posexplode("facts").alias("pos", "f"))
-    return rows.select("site", F.struct("page_id", "pos").alias("ord"), "f.fact_type", "f.raw_value", "f.canonical_value", "f.numeric_value", "f.currency", "f.fee_category", F.col("url").alias("source_url"), "f.snippet", "f.confidence")
+    """One row per fact of parsed pages, from JSON-LD and from the text that is shown."""
+    return fact_rows.facts(page.select("site", "page_id", "url", F.col("clean_text").alias("text"), "meta_site_name", "json_ld"))
 
 
 def homepages(page: DataFrame) -> DataFrame:

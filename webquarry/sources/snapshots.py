@@ -32,4 +32,5 @@ def pages(snapshots: DataFrame) -> DataFrame:
     text = F.coalesce(*[F.nullif(F.col(f"p.{c}"), F.lit("")) for c in ("html", "source_text", "body_text", "rendered_text", "text")])
     first = rows.groupBy("site", "p.url").agg(F.min("page_id").alias("page_id"))
     found = rows.select("site", F.col("page_id").cast("long").alias("page_id"), F.col("p.url").alias("url"), text.alias("html"), F.coalesce("p.status_code", F.lit(200)).alias("status_code"), F.coalesce("p.crawl_depth", F.col("page_id").cast("int")).alias("crawl_depth"), F.col("p.original_url").alias("original_url"), F.coalesce("p.redirect_chain", F.array().cast("array<string>")).alias("redirect_chain"))
-    return found.join(first, ["site", "url", "page_id"], "left_semi")
+    first = first.withColumnsRenamed({"site": "_site", "url": "_url", "page_id": "_id"})
+    return found.join(first, F.col("site").eqNullSafe(F.col("_site")) & F.col("url").eqNullSafe(F.col("_url")) & (F.col("page_id") == F.col("_id")), "left_semi")
