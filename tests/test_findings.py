@@ -5,14 +5,14 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+import sites
 from webquarry.operators import findings as fnd, relations, trust
-from webquarry.plans import fixtures
 from webquarry.plans.audit import known_urls, raw_findings
 
 
 def test_score_formula(spark):
-    rows = spark.createDataFrame([r[:5] for r in fixtures.SCORES], "name string, critical long, high long, medium long, low long")
-    assert [(r.overall_score, r.grade) for r in fnd.scored(rows).collect()] == [(r[5], r[6]) for r in fixtures.SCORES]
+    rows = spark.createDataFrame([r[:5] for r in sites.SCORES], "name string, critical long, high long, medium long, low long")
+    assert [(r.overall_score, r.grade) for r in fnd.scored(rows).collect()] == [(r[5], r[6]) for r in sites.SCORES]
 
 
 def test_overall_status(spark):
@@ -23,7 +23,7 @@ def test_overall_status(spark):
 
 @pytest.fixture(scope="module")
 def raw(spark):
-    page = relations.parse_pages(fixtures.pages(spark)).persist()
+    page = relations.parse_pages(sites.pages(spark)).persist()
     return page, raw_findings(page)[0].persist()
 
 

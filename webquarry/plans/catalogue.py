@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions import urls
-from ..operators import consistency, crawl, engagement, findings as fnd, relations, technical, trust
-from ..sources import robots, sitemap
-from . import audit, fixtures
+from ..operators import crawl, engagement, findings as fnd, relations, technical, trust
+from . import audit
 from .storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,11 +66,6 @@ def _in(words: list[str]) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    lit = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
-    return "(VALUES " + ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows) + f") AS t({names})"
-
-
 _LOCALE = f"CASE WHEN seg IN {_in(lex.NON_LOCALE_SEGMENTS)} THEN NULL WHEN seg IN {_in(lex.REGIONAL_SLUGS)} OR regexp_full_match(seg, '[a-z]{{2,4}}[-_][a-z]{{2,4}}|[a-z]{{2,3}}') THEN seg END"
 
 
@@ -85,30 +79,6 @@ def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.host(u).alias("host"), urls.site_key(urls.host(u)).alias("site_key"), urls.normalize(u).alias("url_norm"), urls.equivalence_key(u).alias("url_key"), urls.locale(u).alias("locale"), urls.is_locale_root(u).alias("is_locale_root"), urls.is_private(u).alias("is_private"), urls.is_valid(u).alias("is_valid"))
 
 
-_URL_TRUTH = [
-    ("HTTPS://Example.COM/Path/", "https://example.com/Path", False), ("example.com", "https://example.com", False), ("http://example.com:80/a?b=1#c", "http://example.com/a?b=1", False), ("https://user@example.com:8443/x/", "https://example.com:8443/x", False), ("https://example.com/a;p=1", "https://example.com/a", False),
-    ("ftp://example.com", None, False), ("mailto:a@b.c", None, False), ("http://localhost/x", None, True), ("http://10.1.2.3/", None, True), ("http://8.8.8.8/dns/", "http://8.8.8.8/dns", False), ("https://shop.example", None, True), ("http://[::1]/", None, True), ("http://[2606:4700::1111]/x", "http://[2606:4700::1111]/x", False), ("   ", None, True),
-    ("https://www.adobe.com/in/products", "https://www.adobe.com/in/products", False), ("https://www.adobe.com/ae_ar/", "https://www.adobe.com/ae_ar", False), ("https://docs.python.org/3", "https://docs.python.org/3", False), ("https://example.com//", "https://example.com", False), ("http://example.com:99999/", None, False), ("http://172.16.0.9", None, True), ("http://172.32.0.9", "http://172.32.0.9", False), ("example.com:8080", None, False),
-]
-
-
-@query(f"SELECT url, url_norm, is_private FROM {_values(_URL_TRUTH, 'url, url_norm, is_private')}")
-def url_truth_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(r[0],) for r in _URL_TRUTH], "url string").select("url", urls.normalize(F.col("url")).alias("url_norm"), urls.is_private(F.col("url")).alias("is_private"))
-
-
-_PAIRS = [
-    ("https://example.com/a", "http://www.example.com/a/", True, False, True, True), ("https://blog.example.com", "https://example.com", True, False, False, True), ("https://example.com", "https://other.com", False, False, False, True), ("https://a.co.uk", "https://b.co.uk", True, False, False, True),
-    ("https://x.com/in/", "https://x.com/au/", True, True, False, False), ("https://x.com/in/", "https://x.com/in/p", True, False, False, True), ("https://x.com/docs", "https://x.com/au/", True, False, False, False), ("http://8.8.8.8", "http://8.8.4.4", False, False, False, True), ("https://x.com/A?b=1", "https://x.com/a?b=1", True, False, True, True),
-]
-
-
-@query(f"SELECT a, b, same_site, sibling, equivalent, same_locale FROM {_values(_PAIRS, 'a, b, same_site, sibling, equivalent, same_locale')}")
-def url_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    return spark.createDataFrame([r[:2] for r in _PAIRS], "a string, b string").select("a", "b", urls.same_site(a, b).alias("same_site"), urls.is_regional_sibling(a, b).alias("sibling"), (urls.equivalence_key(a) == urls.equivalence_key(b)).alias("equivalent"), urls.same_locale(a, b).alias("same_locale"))
-
-
 @query(f"WITH {_PAGES} SELECT regexp_replace(regexp_replace(lower(norm), '^https?://', ''), '^www[.]', '') AS url_key, min(page_id) AS first_page_id, count(*) AS n FROM p GROUP BY 1")
 def canonical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(urls.equivalence_key(F.col("url")).alias("url_key")).agg(F.min("page_id").alias("first_page_id"), F.count(F.lit(1)).alias("n"))
@@ -143,12 +113,7 @@ def homepages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.homepages(parsed(spark, sf_dir)).select("site", "home_id", "n_pages")
 
 
-@query(f"SELECT page_id, reason FROM {_values([(4, 'empty application container')], 'page_id, reason')}")
-def rendering_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.parse_pages(fixtures.pages(spark)).filter("needs_rendering IS NOT NULL").select("page_id", F.col("needs_rendering").alias("reason"))
-
-
-# Technical rules
+# Technical rules, crawl
 
 
 @query(f"""WITH {_PAGES}, i AS (
@@ -160,71 +125,6 @@ def technical_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return technical.page_issues(parsed(spark, sf_dir)).filter("code <> 'MISSING_META_DESCRIPTION'").select("page_id", "code", "severity")
 
 
-_TECH = [
-    ("docs.kites.io", 1, "LOW_BODY_TEXT"), ("docs.kites.io", 1, "MISSING_CANONICAL"), ("docs.kites.io", 1, "MISSING_META_DESCRIPTION"), ("docs.kites.io", 2, "MISSING_CANONICAL"), ("docs.kites.io", 3, "LOW_BODY_TEXT"), ("docs.kites.io", 3, "MISSING_CANONICAL"), ("docs.kites.io", 3, "MISSING_META_DESCRIPTION"),
-    ("home.dev", 1, "LOW_BODY_TEXT"), ("home.dev", 1, "MISSING_CANONICAL"), ("home.dev", 1, "MISSING_META_DESCRIPTION"), ("home.dev", 1, "SHORT_TITLE"), ("home.dev", 2, "LOW_BODY_TEXT"), ("home.dev", 2, "MISSING_CANONICAL"), ("home.dev", 2, "MISSING_H1"), ("home.dev", 2, "MISSING_META_DESCRIPTION"), ("home.dev", 2, "ROBOTS_TXT_DISALLOWED"), ("home.dev", 2, "SHORT_TITLE"),
-    ("home.dev", 3, "EMPTY_BODY_TEXT"), ("home.dev", 3, "HTTP_UNREACHABLE"), ("home.dev", 3, "MISSING_CANONICAL"), ("home.dev", 3, "MISSING_H1"), ("home.dev", 3, "MISSING_META_DESCRIPTION"), ("home.dev", 3, "MISSING_TITLE"), ("home.dev", 4, "HTTP_SERVER_ERROR"), ("home.dev", 4, "MISSING_CANONICAL"), ("home.dev", 4, "ROBOTS_META_NOINDEX"), ("home.dev", 4, "STATIC_RENDERED_CONTENT_GAP"),
-    ("kites.io", 2, "CANONICAL_PROTOCOL_MISMATCH"), ("kites.io", 3, "CANONICAL_DOMAIN_MISMATCH"), ("kites.io", 3, "MULTIPLE_H1"), ("kites.io", 4, "MISSING_CANONICAL"), ("kites.io", 4, "SHORT_TITLE"), ("kites.io", 5, "EMPTY_BODY_TEXT"), ("kites.io", 5, "HTTP_NOT_FOUND"), ("kites.io", 5, "MISSING_CANONICAL"), ("kites.io", 5, "MISSING_H1"), ("kites.io", 5, "MISSING_META_DESCRIPTION"), ("kites.io", 5, "MISSING_TITLE"),
-    ("kites.io", 6, "EXCESSIVE_REDIRECT_CHAIN"), ("kites.io", 6, "MISSING_CANONICAL"), ("kites.io", 6, "MISSING_H1"), ("kites.io", 6, "REDIRECT_LOOP"), ("kites.io", 6, "SHORT_TITLE"),
-]
-
-
-@query(f"SELECT site, CAST(page_id AS BIGINT) AS page_id, code FROM {_values(_TECH, 'site, page_id, code')}")
-def technical_issues_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return technical.page_issues(relations.parse_pages(fixtures.pages(spark))).select("site", "page_id", "code")
-
-
-@query(f"SELECT site, code FROM {_values([('kites.io', 'HIGH_CRAWL_DELAY'), ('home.dev', 'ROBOTS_TXT_NOT_FOUND'), ('docs.kites.io', 'ROBOTS_TXT_NOT_FOUND'), ('home.dev', 'SITEMAP_NOT_FOUND')], 'site, code')}")
-def site_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites, _ = sitemap.discover(fixtures.sitemaps(spark), fixtures.sitemap_roots(spark))
-    return technical.site_issues(robots.inspect(fixtures.robots(spark)), sites).select("site", "code")
-
-
-@query(f"SELECT site, CAST(page_id AS BIGINT) AS page_id, code FROM {_values([('kites.io', 5, 'HTTP_404'), ('home.dev', 3, 'FETCH_ERROR'), ('home.dev', 4, 'RESPONSE_TRUNCATED'), ('home.dev', 4, 'HTTP_500')], 'site, page_id, code')}")
-def fetch_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return technical.fetch_issues(fixtures.fetched(spark)).select("site", "page_id", "code")
-
-
-@query(f"SELECT site, CAST(page_id AS BIGINT) AS page_id FROM {_values([('kites.io', 4), ('kites.io', 5), ('kites.io', 6), ('docs.kites.io', 2), ('docs.kites.io', 3)], 'site, page_id')}")
-def page_not_in_sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, listed = sitemap.discover(fixtures.sitemaps(spark), fixtures.sitemap_roots(spark))
-    return technical.not_in_sitemap(fixtures.pages(spark), listed).select("site", "page_id")
-
-
-@query(f"SELECT site, url, CAST(pos AS INTEGER) AS pos FROM {_values([('kites.io', 'https://kites.io', 1), ('kites.io', 'https://kites.io/pricing', 2), ('kites.io', 'https://kites.io/about', 3), ('docs.kites.io', 'https://docs.kites.io/en', 1)], 'site, url, pos')}")
-def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sitemap.discover(fixtures.sitemaps(spark), fixtures.sitemap_roots(spark))[1].select("site", "url", "pos")
-
-
-_ALLOWED = [("https://kites.io/secret/plan", False), ("https://kites.io/blog/a", False), ("https://kites.io/blog/news", True), ("https://kites.io/private/x", True), ("https://kites.io/", True)]
-_ALLOWED_ANY = [("https://kites.io/secret/plan", True), ("https://kites.io/private/x", False), ("https://kites.io/private/open/y", True), ("https://kites.io/a.pdf", False), ("https://kites.io/a.pdf?x=1", True)]
-
-
-@query(f"SELECT agent, url, allowed FROM {_values([('WebquarryBot/1.0', *r) for r in _ALLOWED] + [('curl/8', *r) for r in _ALLOWED_ANY], 'agent, url, allowed')}")
-def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = []
-    for agent, rows in (("WebquarryBot/1.0", _ALLOWED), ("curl/8", _ALLOWED_ANY)):
-        pages = spark.createDataFrame([("kites.io", i, r[0]) for i, r in enumerate(rows)], "site string, page_id long, url string")
-        parts.append(robots.allowed(pages, fixtures.robots(spark), agent).select(F.lit(agent).alias("agent"), "url", "allowed"))
-    return fnd.union(parts)
-
-
-@query(f"SELECT site, found, allowed_for_agent, crawl_delay FROM {_values([('kites.io', True, True, 12.0), ('home.dev', False, True, None), ('docs.kites.io', False, None, None)], 'site, found, allowed_for_agent, crawl_delay')}")
-def robots_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robots.inspect(fixtures.robots(spark)).select("site", "found", "allowed_for_agent", "crawl_delay")
-
-
-# Crawl
-
-_CRAWL = [("docs.kites.io", "https://docs.kites.io/en/", 0, 1), ("docs.kites.io", "https://docs.kites.io/en/start", 1, 2), ("home.dev", "https://home.dev/", 0, 1), ("kites.io", "https://kites.io/", 0, 1), ("kites.io", "https://kites.io/pricing", 1, 2), ("kites.io", "https://kites.io/about", 1, 3)]
-
-
-@query(f"SELECT site, url, CAST(depth AS INTEGER) AS depth, CAST(place AS INTEGER) AS place FROM {_values(_CRAWL, 'site, url, depth, place')}")
-def crawl_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = spark.createDataFrame([("kites.io", "https://kites.io"), ("home.dev", "https://home.dev"), ("docs.kites.io", "https://docs.kites.io/en")], "site string, url string")
-    return crawl.crawl(relations.parse_pages(fixtures.pages(spark)), roots).select("site", "url", "depth", "place")
-
-
 @query(f"WITH {_PAGES} SELECT host AS site, norm AS canonical, 0 AS depth FROM d JOIN h USING (host) WHERE page_id = home_id")
 def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = stored(parsed(spark, sf_dir), "parsed")
@@ -273,23 +173,6 @@ def engagement_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engagement.metrics(page, empty).select("site", "pages_audited", "internal_link_count", "external_link_count", "avg_headings_per_page")
 
 
-_ENG = [
-    ("docs.kites.io", "ENG-002", 1), ("docs.kites.io", "ENG-014", 1), ("home.dev", "ENG-001", 1), ("home.dev", "ENG-002", 1), ("home.dev", "ENG-003", 1), ("home.dev", "ENG-004", 1), ("home.dev", "ENG-008", 1), ("home.dev", "ENG-009", 3), ("home.dev", "ENG-012", 1), ("home.dev", "ENG-014", 2), ("home.dev", "ENG-015", 3), ("home.dev", "ENG-016", 2),
-    ("kites.io", "ENG-005", 1), ("kites.io", "ENG-006", 1), ("kites.io", "ENG-007", 1), ("kites.io", "ENG-009", 3), ("kites.io", "ENG-011", 1), ("kites.io", "ENG-013", 1), ("kites.io", "ENG-014", 1), ("kites.io", "ENG-015", 2), ("kites.io", "ENG-016", 2),
-]
-
-
-@query(f"SELECT site, id, CAST(n AS BIGINT) AS n FROM {_values(_ENG, 'site, id, n')}")
-def engagement_findings_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = stored(relations.parse_pages(fixtures.pages(spark)), "parsed")
-    return engagement.engagement_findings(page).groupBy("site", "id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"SELECT site, canonical, CAST(n_in AS BIGINT) AS n_in FROM {_values([('docs.kites.io', 'https://docs.kites.io/de', 0), ('docs.kites.io', 'https://docs.kites.io/en', 1), ('docs.kites.io', 'https://docs.kites.io/en/start', 1), ('kites.io', 'https://kites.io', 3), ('kites.io', 'https://kites.io/about', 3), ('kites.io', 'https://kites.io/pricing', 3), ('kites.io', 'https://kites.io/blog/news', 0), ('kites.io', 'https://kites.io/gone', 0), ('kites.io', 'https://kites.io/loop', 0)], 'site, canonical, n_in')}")
-def in_links_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engagement.in_links(stored(relations.parse_pages(fixtures.pages(spark)).filter("site <> 'home.dev'"), "parsed"))
-
-
 # Entity, clarity, freshness
 
 
@@ -304,82 +187,14 @@ def ec_003_structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.entity_findings(trust.entities(homed(spark, sf_dir))).filter("id = 'EC-003'").select("site", "id", "severity")
 
 
-_TRUST = [("docs.kites.io", "CC-003", "high"), ("home.dev", "CC-003", "high"), ("docs.kites.io", "EC-002", "medium"), ("docs.kites.io", "EC-003", "medium"), ("home.dev", "EC-001", "high"), ("home.dev", "EC-002", "medium"), ("home.dev", "EC-003", "medium"), ("kites.io", "CC-001", "high"), ("kites.io", "CC-002", "medium"), ("kites.io", "FR-001", "high"), ("kites.io", "FR-002", "medium")]
-
-
-@query(f"SELECT site, id, severity FROM {_values(_TRUST, 'site, id, severity')}")
-def trust_findings_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = stored(engagement.with_home(stored(relations.parse_pages(fixtures.pages(spark)), "parsed")), "pages")
-    return fnd.union([trust.entity_findings(trust.entities(page)), trust.clarity_findings(page), trust.freshness_findings(page)]).select("site", "id", "severity")
-
-
-@query(f"SELECT site, name, type, industry, location, CAST(founding_year AS INTEGER) AS founding_year, contact_email, confidence_score FROM {_values([('kites.io', 'Northwind Kites', 'Organization', 'software', 'Leeds, UK', 2004, 'hello@kites.io', 0.92), ('docs.kites.io', 'Kites', 'Organization', None, None, None, 'hello@kites.io', 0.5), ('home.dev', 'Home', 'Organization', None, None, None, None, 0.5)], 'site, name, type, industry, location, founding_year, contact_email, confidence_score')} WHERE site = 'kites.io'")
-def entity_profile_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = stored(engagement.with_home(stored(relations.parse_pages(fixtures.pages(spark)).filter("site = 'kites.io'"), "parsed")), "pages")
-    return trust.profiles(trust.entities(page)).select("site", "name", "type", "industry", "location", "founding_year", "contact_email", "confidence_score")
-
-
 # Facts
 
 
-@query(rf"SELECT doc_id, lower(e) AS email FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{lex.CLARITY_EMAIL}')) AS e FROM documents) WHERE NOT regexp_matches(lower(e), '[.](png|jpg|jpeg|gif|webp)$')")
-def facts_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.transform(F.regexp_extract_all("text", F.lit(lex.CLARITY_EMAIL), F.lit(0)), F.lower)).alias("email"))
-    return rows.filter(~F.col("email").rlike(r"\.(png|jpg|jpeg|gif|webp)$"))
-
-
-@query(rf"SELECT doc_id, regexp_replace(p, '[^0-9]', '', 'g') AS phone FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{lex.PHONE}')) AS p FROM documents)")
-def facts_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.transform(F.regexp_extract_all("text", F.lit(lex.PHONE), F.lit(0)), lambda p: F.regexp_replace(p, r"\D", ""))).alias("phone"))
-
-
-@query(rf"SELECT conv_id, turn, regexp_replace(p, '[^0-9]', '', 'g') AS phone FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '{lex.PHONE}')) AS p FROM conversations)")
-def facts_phone_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.transform(F.regexp_extract_all("text", F.lit(lex.PHONE), F.lit(0)), lambda p: F.regexp_replace(p, r"\D", ""))).alias("phone"))
-
-
 @query(rf"SELECT source AS site, count(*) AS n_docs, bool_or(regexp_matches(text, '{lex.CLARITY_EMAIL}')) AS has_email, CAST(sum(len(regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}_]+'))) AS BIGINT) AS n_words FROM documents GROUP BY 1")
 def source_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("site")).agg(F.count(F.lit(1)).alias("n_docs"), F.bool_or(F.col("text").rlike(lex.CLARITY_EMAIL)).alias("has_email"), F.sum(relations.words(F.col("text"))).alias("n_words"))
 
 
-_CLUSTERS = [("a.io", "email", 1, 2), ("a.io", "founding_year", 2, 3), ("a.io", "headquarters", 1, 2), ("a.io", "metric", 3, 3), ("a.io", "phone", 1, 2), ("a.io", "price", 4, 4), ("b.io", "organization_name", 1, 2), ("b.io", "phone", 2, 2)]
-
-
-@query(f"SELECT site, fact_type, CAST(n_clusters AS BIGINT) AS n_clusters, CAST(n_facts AS BIGINT) AS n_facts FROM {_values(_CLUSTERS, 'site, fact_type, n_clusters, n_facts')}")
-def fact_clusters_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consistency.cluster_table(consistency.clusters(fixtures.facts(spark))).groupBy("site", "fact_type").agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n_facts").alias("n_facts"))
-
-
-@query(f"SELECT site, id, severity, confidence FROM {_values([('a.io', 'CO-001', 'high', 0.87), *[('a.io', f'CO-{i:03d}', 'high', 0.84) for i in range(2, 7)], ('a.io', 'CO-007', 'medium', 0.82)], 'site, id, severity, confidence')}")
-def fact_conflicts_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consistency.consistency_findings(fixtures.facts(spark)).select("site", "id", "severity", "confidence")
-
-
-@query(f"SELECT site, fact_type, value FROM {_values([('a.io', 'email', 'x@a.io'), ('a.io', 'headquarters', 'new delhi'), ('a.io', 'phone', '15550109999'), ('b.io', 'organization_name', 'bee inc')], 'site, fact_type, value')}")
-def fact_consensus_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consistency.consensus(fixtures.facts(spark))
-
-
-# Findings
-
-
-@query(f"SELECT name, overall_score, grade FROM {_values([(r[0], r[5], r[6]) for r in fixtures.SCORES], 'name, overall_score, grade')}")
-def readiness_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:5] for r in fixtures.SCORES], "name string, critical long, high long, medium long, low long")
-    return fnd.scored(rows).select("name", "overall_score", "grade")
-
-
-@query()
-def findings_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_sites(fixtures.pages(spark), fetched=fixtures.fetched(spark)).findings.select("site", "place", "id", "category", "severity", "confidence", F.size("affected_urls").alias("n_urls"))
-
-
-@query()
-def recommendations_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_sites(fixtures.pages(spark)).recommendations.select("site", "place", "finding_id", "title", "priority")
-
-
 _LOCALE_LINK = f"regexp_matches(target, '^https?://[^/]+/([a-z]{{2,4}}[-_][a-z]{{2,4}}|[a-z]{{2,3}}|{'|'.join(lex.REGIONAL_SLUGS)})([?].*)?$', 'i') AND lower(regexp_extract(target, '^https?://[^/]+/([^/?]+)', 1)) NOT IN {_in(lex.NON_LOCALE_SEGMENTS)}"
 _FULL_AUDIT = rf"""WITH {_PAGES},
     m AS (SELECT h.host, h.n_pages, h.home_id, d.url AS home_url, d.norm AS home_norm, d.body AS home_body FROM h JOIN d ON d.page_id = h.home_id),
@@ -419,11 +234,4 @@ def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_sites(table(spark, sf_dir, "pages")).findings.select("site", "place", "id", "category", "severity", "confidence", F.size("affected_urls").alias("n_urls"))
 
 
-@query()
-def markdown_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.to_markdown(audit.audit_sites(fixtures.pages(spark)))
-
-
-@query()
-def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.to_json(audit.audit_sites(fixtures.pages(spark)))
+from . import derived_queries  # noqa: E402, F401  registers the queries over derived tables
