@@ -277,3 +277,43 @@ def test_recall_of_near_passages(spark, members):
     recall = len(got & set(pairs)) / len(pairs)
     print(f"recall of near passages in groups of {2 * members}: {recall:.3f}")
     assert recall > 0.95
+
+
+def test_shared_keys_are_streamed():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        rows = sorted((int(rng.integers(0, 8)), int(rng.integers(0, 3)), int(rng.integers(0, 5))) for _ in range(n))
+        whole = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["key", "doc_id", "a"])
+        docs: dict[int, list[tuple]] = {}
+        for r in rows:
+            docs.setdefault(r[0], []).append(r)
+        for first in ([], ["a"]):
+            sharing, got, at = substring_dedup.Sharing(first), [], 0
+            while at < n:
+                size = int(rng.integers(1, 9))
+                for b in sharing(whole.slice(at, size)):
+                    got += zip(*(c.to_pylist() for c in b.columns), strict=True)
+                at += size
+            assert sorted(got) == sorted(r + (docs[r[0]][0][1:] if first else ()) for r in rows if len({x[1] for x in docs[r[0]]}) > 1)
+
+
+def test_promising_pairs_are_those_with_enough_in_common():
+    rng, passages = np.random.default_rng(0), Passages()
+    sizes, n = [], passages.tokens
+    while n < 2 * passages.tokens:
+        m = min(2 * passages.tokens, n + n // 3)
+        sizes.append((n, int(n - (1 - passages.similarity) * (m - 1))))
+        n = m
+    for _ in range(20):
+        pairs = []
+        for _ in range(12):
+            a = rng.integers(0, int(rng.choice([3, 50, 10000])), int(rng.integers(0, 200))).astype(np.uint32)
+            b = a.copy() if rng.random() < 0.5 else rng.integers(0, 50, int(rng.integers(0, 200))).astype(np.uint32)
+            b[rng.integers(0, max(1, len(b)), int(rng.integers(0, 20)) if len(b) else 0)] = 99999
+            pairs.append((a, b[int(rng.integers(0, 30)) :]))
+        for (a, b), got in zip(pairs, substring_dedup.promising(pairs, passages), strict=True):
+            hit = np.isin(substring_dedup._shingles(a, 5), substring_dedup._shingles(b, 5))
+            assert got == any(hit[k : k + n].sum() >= least for n, least in sizes for k in range(len(hit) - n + 1))

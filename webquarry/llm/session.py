@@ -63,8 +63,9 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return wrapped
 
 
-#: Where the tables made by ``materialize`` are.
+#: Where the tables made by ``materialize`` are, and the names of those that the catalog knows.
 _stored: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_named: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 #: Drops the shuffle files of a job as soon as its table is written.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -101,10 +102,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int, dealt: bool = False) -> DataFrame:
+    """Like ``materialize``, as a table in buckets of a column: later joins and aggregates by it don't shuffle this side.
+
+    ``dealt``: the rows are dealt to ``buckets`` partitions by the column already.
+    """
+    spark = df.sparkSession
+    table = f"webquarry_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/webquarry/{table}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        rows = df if dealt else df.repartition(buckets, column)
+        rows.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, column).saveAsTable(table)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.table(table)
+    _stored[out], _named[out] = path, table
+    return out
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by ``materialize`` once no later plan reads them."""
     for df in tables:
-        path = _stored.pop(df, None)
+        path, table = _stored.pop(df, None), _named.pop(df, None)
+        if table:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         if path:
             jvm = df.sparkSession.sparkContext._jvm
             folder = jvm.org.apache.hadoop.fs.Path(path)
