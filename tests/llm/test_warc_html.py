@@ -73,6 +73,55 @@ def test_teasers_do_not_stand_for_the_article():
     assert got == [f"Sentence {i} of the text, which is long enough; it has marks, too. Another one follows, really." for i in range(12)]
 
 
+@pytest.mark.parametrize("wrap", ['<div class="layout with-sidebar">%s</div>', '<article class="post no-comments">%s</article>', '<div id="page_menu"><main>%s</main></div>', '<div class="has-sidebar"><div class="single-post">%s</div></div>', '<div class="widget">%s</div>'])
+def test_names_of_layout_do_not_empty_a_page(wrap):
+    body = "<h1>Head</h1>" + "".join(f"<p>Sentence {i} of the text, which is long enough; it has marks, too. Another one follows, really.</p>" for i in range(6))
+    side = '<div class="sidebar">Other things, many.</div><div class="post-comments"><p>Well said, really. I like it.</p></div><div class="site-header">Brand</div>'
+    got = main_text(f"<body>{wrap % body}{side}</body>").split("\n")
+    assert got[0] == "Head" and len(got) == 7
+
+
+def test_heading_beside_the_content():
+    text = "".join(f"<p>Sentence {i} of the text, which is long enough; it has marks, too. Another one follows, really.</p>" for i in range(6))
+    assert main_text(f"<body><h1>Head</h1><div class=content>{text}</div><div class=more>End</div></body>").split("\n")[0] == "Head"
+    assert main_text(f"<body><header><h1>Site</h1></header><div class=content>{text}</div></body>").split("\n")[0].startswith("Sentence")
+    assert main_text(f"<body><div class=content>{text}</div><h1>After</h1></body>").count("\n") == 5
+
+
+def test_marks():
+    from webquarry.llm.html_extract import is_mark
+
+    marked = ["ad", "cookie-notice", "comments", "post-comments", "sidebar", "side-bar", "site-header", "nav_main", "navbar", "related-posts", "footer", "x comment-list"]
+    assert all(map(is_mark, marked)) and not any(map(is_mark, ["", "content", "with-sidebar", "no-comments", "adapter", "header", "post", "layout-sidebar-right", "-", "paragraph"]))
+
+
+def slow_scores(found) -> list[float]:
+    """The path scores by their definition, one block at a time."""
+    import math
+
+    fused = []
+    for x in found:
+        same = [y for y in found if y.path == x.path]
+        own = sum(len(y.text) for y in same)
+        linked = sum(y.linked for y in same)
+        marks = sum(y.text.count(c) for y in same for c in ".,;:!?…。，；：！？、")
+        fused.append(0.0 if x.outside else math.sqrt((own - linked) / len(same) * (1 + marks) / len(same)) * (1 - linked / own))
+    out = []
+    for i in range(len(fused)):
+        near = [(math.exp(-((i - j) ** 2) / 2), fused[j]) for j in range(max(0, i - 3), min(len(fused), i + 4))]
+        out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+    return out
+
+
+def test_path_scores_equal_a_slow_implementation(spark):
+    from webquarry.llm.html_extract import nodes, path_scores
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()] + [PAGE % ("<main>", "</main>")]
+    for html in pages:
+        found = nodes(html or "")
+        assert path_scores(found) == pytest.approx(slow_scores(found))
+
+
 def test_extract_edges(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p>", "x"), (4, "u", "<article>" + "<p>word, word.</p>" * 3000, "x"), (5, "u", "<nav>only menu</nav>", "x")]
     got = {r.page_id: r for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
