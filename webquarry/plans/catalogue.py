@@ -229,9 +229,40 @@ def full_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_sites(table(spark, sf_dir, "pages")).reports
 
 
-@query()
+_WITH = _FULL_AUDIT[: _FULL_AUDIT.rindex("SELECT m.host AS site")]
+_SEVERITY = "CASE s WHEN 'h' THEN 'high' WHEN 'm' THEN 'medium' ELSE 'low' END"
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> audit.Audit:
+    return audit.audit_sites(table(spark, sf_dir, "pages"))
+
+
+@query(f"{_WITH} SELECT host AS site, id, {_SEVERITY} AS severity FROM f")
 def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_sites(table(spark, sf_dir, "pages")).findings.select("site", "place", "id", "category", "severity", "confidence", F.size("affected_urls").alias("n_urls"))
+    """Findings of all sites, merged and validated."""
+    return _audited(spark, sf_dir).findings.select("site", "id", "severity")
+
+
+@query(f"{_WITH} SELECT host AS site, id AS finding_id, {_SEVERITY} AS priority FROM f")
+def audit_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recommendation for each finding of a site."""
+    return _audited(spark, sf_dir).recommendations.select("site", "finding_id", "priority")
+
+
+@query(f"SELECT site, overall_score, grade, total_findings AS n_findings, total_findings AS n_recommendations, pages_analyzed AS n_pages FROM ({_FULL_AUDIT})")
+def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the JSON reports of all sites say, read back from their text."""
+    j = F.try_parse_json("report")
+    get = lambda path, kind: F.variant_get(j, path, kind)
+    size = lambda path: F.size(get(path, "array<variant>")).cast("long")
+    return audit.to_json(_audited(spark, sf_dir)).select("site", get("$.overall_score", "double").alias("overall_score"), get("$.grade", "string").alias("grade"), size("$.findings").alias("n_findings"), size("$.recommendations").alias("n_recommendations"), get("$.pages_analyzed", "long").alias("n_pages"))
+
+
+@query(f"SELECT site, printf('%.1f', overall_score) || ', grade ' || grade || ', ' || pages_analyzed || ' pages' AS headline, total_findings AS n_rows, total_findings AS n_steps FROM ({_FULL_AUDIT})")
+def markdown_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the Markdown reports of all sites say: the headline, rows of findings, steps of the roadmap."""
+    count = lambda p: F.regexp_count("report", F.lit(p)).cast("long")
+    return audit.to_markdown(_audited(spark, sf_dir)).select("site", F.regexp_extract("report", r"Score ([\d.]+, grade [A-F], \d+ pages)", 1).alias("headline"), count(r"(?m)^\| [A-Z]+-\S+ \| (?:high|medium|low)").alias("n_rows"), count(r"(?m)^\d+\. \*\*").alias("n_steps"))
 
 
 from . import derived_queries  # noqa: E402, F401  registers the queries over derived tables
