@@ -176,6 +176,29 @@ def is_regional_sibling(root: Column, candidate: Column) -> Column:
 # The same in Python, for the page parser ---------------------------------------------------------------------------
 
 
+def resolve(base: Column, href: Column) -> Column:
+    """A reference against the address that it stands in, dot segments taken out of its path; not in normal form yet."""
+    ref = strip(href)
+    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    tail = F.regexp_extract(ref, r"([?#].*)$", 1)
+    own = F.regexp_extract(ref, "^([^?#]*)", 1)
+    full = F.when(F.startswith(own, F.lit("/")), own).when(own == "", path).otherwise(F.concat(F.regexp_extract(path, "^(.*/)", 1), own))
+
+    def plain(whole: Column) -> Column:
+        parts = F.split(F.regexp_replace(whole, "^/", ""), "/")
+        last = F.element_at(parts, -1)
+        step = lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.array_append(a, x))
+        kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+        return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+    return (
+        F.when(ref.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), ref)
+        .when(F.startswith(ref, F.lit("//")), F.concat(F.regexp_extract(base, "^([^:]*:)", 1), ref))
+        .otherwise(F.concat(origin, F.when((full == "") | (origin == ""), full).otherwise(let(full, plain)), F.when((own == "") & ~F.startswith(tail, F.lit("?")), F.concat(F.regexp_extract(base, r"(\?[^#]*)", 1), tail)).otherwise(tail)))
+    )
+
+
 def py_host(target: str) -> str:
     raw = target.strip()
     if "://" in raw or raw.startswith("//"):

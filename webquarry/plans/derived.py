@@ -126,3 +126,32 @@ TEXTS = {
 def fact_texts(documents: DataFrame) -> DataFrame:
     """``site, page_id, url, text``: each whole document after a statement or two, its source being the site."""
     return documents.filter("doc_id IS NOT NULL").selectExpr(*[f"{e} AS {c}" for c, e in TEXTS.items()])
+
+
+#: JSON documents by ``page_id % 6``: an object, a list, a graph, broken text, a number, a list of types.
+JSON = [
+    """'{"@type":"Organization","name":"N' || CAST(page_id AS VARCHAR(20)) || '","sameAs":["https://a.io/' || CAST(page_id AS VARCHAR(20)) || '","https://b.io"]}'""",
+    """'[{"@type":"Product","name":"P"},3,{"@type":"Offer","sameAs":"https://c.io"}]'""", """'{"@context":"x","@graph":[{"@type":"Person","name":"G"},"no",{"name":"untyped"}]}'""", """'{"@type":"Broken'""", "'17'", """'{"@type":["Corporation","Thing"],"name":null}'""",
+]
+
+
+def json_documents(pages: DataFrame) -> DataFrame:
+    """``page_id, text``: a JSON document for each page."""
+    return pages.selectExpr("page_id", f"{_variant('page_id % 6', JSON)} AS text")
+
+
+#: Where an address of a host sends to, by page: ``/h<k>`` to ``/h<k + 1>`` and so on; see ``redirect_hops``.
+def redirect_hops(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Addresses ``site, url`` (``/h0`` to ``/h11`` of each host) and hops ``site, url, location``.
+
+    h0 to h3 go on one by one to h4, which ends; h5 and h6 send to each other; h7 sends to a private host; h8 to h9 by a full
+    address; of a host with an even length of name h10 begins a chain of seven hops by relative addresses; h11 stays.
+    """
+    hosts = pages.select(urls.host(F.col("url")).alias("site")).distinct()
+    at = lambda k: F.concat(F.lit("https://"), F.col("site"), F.lit(f"/{k}"))
+    starts = hosts.select("site", F.explode(F.array(*[at(f"h{k}") for k in range(12)])).alias("url"))
+    pairs = [(f"h{k}", f"/h{k + 1}") for k in range(4)] + [("h5", "/h6"), ("h6", "h5"), ("h7", "http://10.0.0.1/x")]
+    long = [("h10", "c1"), *[(f"c{k}", f"c{k + 1}") for k in range(1, 7)]]
+    some = lambda ps: F.array(*[F.struct(at(a).alias("url"), F.lit(b).alias("location")) for a, b in ps])
+    hops = hosts.select("site", F.explode(F.concat(some(pairs), F.array(F.struct(at("h8").alias("url"), at("h9/").alias("location"))), F.filter(some(long), lambda x: F.length("site") % 2 == 0))).alias("h"))
+    return starts, hops.select("site", "h.url", "h.location")

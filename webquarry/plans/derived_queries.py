@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions import urls
-from ..operators import consistency, crawl, engagement, facts, findings as fnd, relations, technical, trust
-from ..sources import robots, sitemap
+from ..operators import consistency, crawl, engagement, facts, findings as fnd, relations, structured, technical, trust
+from ..sources import redirects, robots, sitemap
 from . import derived
 from .catalogue import _HOST, _in, query, table
 from .storage import stored
@@ -82,6 +82,41 @@ def fetch_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return technical.fetch_issues(derived.tree_pages(table(spark, sf_dir, "pages"))).select("page_id", "code")
 
 
+@query("WITH i AS (" + " UNION ALL ".join(f"SELECT page_id, '{severity}' AS severity FROM pages WHERE {when}" for when, code, severity in _CODES) + f"""), h AS (SELECT page_id, {_HOST} AS site FROM pages), j AS (SELECT site, i.* FROM i JOIN h USING (page_id))
+    SELECT CASE GROUPING(site) + GROUPING(page_id) WHEN 0 THEN 'page' WHEN 1 THEN 'site' ELSE 'corpus' END AS level, site, page_id, count_if(severity = 'error') AS errors, count_if(severity = 'warning') AS warnings, count_if(severity = 'info') AS infos FROM j GROUP BY GROUPING SETS ((site, page_id), (site), ())""")
+def issue_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of the derived pages counted for pages, sites and the whole corpus in one pass."""
+    return technical.rollup(technical.page_issues(relations.parse_pages(derived.tree_pages(table(spark, sf_dir, "pages")))))
+
+
+# Redirects, structured data
+
+_CHAINS = [
+    *[(k, "h4", 4 - k, "ok") for k in range(4)], (4, "h4", 0, "ok"), (5, "h6", 2, "loop"), (6, "h5", 2, "loop"), (7, "h7", 0, "private"), (8, "h9", 1, "ok"), (9, "h9", 0, "ok"), (11, "h11", 0, "ok"),
+]
+
+
+@query(f"""WITH {_HOSTS}, c(k, last, n, outcome) AS (VALUES {', '.join(f"({k}, '{a}', {n}, '{o}')" for k, a, n, o in _CHAINS)}) SELECT site, 'https://' || site || '/h' || k AS url, 'https://' || site || '/' || last AS final_url, CAST(CASE WHEN n > 0 THEN n + 1 ELSE 0 END AS INTEGER) AS n_visited, outcome FROM s, c
+    UNION ALL SELECT site, 'https://' || site || '/h10', 'https://' || site || CASE WHEN length(site) % 2 = 0 THEN '/c5' ELSE '/h10' END, CASE WHEN length(site) % 2 = 0 THEN 6 ELSE 0 END, CASE WHEN length(site) % 2 = 0 THEN 'too_many' ELSE 'ok' END FROM s""")
+def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where twelve addresses of each host lead."""
+    return redirects.resolve(*derived.redirect_hops(table(spark, sf_dir, "pages"))).select("site", "url", "final_url", F.size("redirect_chain").alias("n_visited"), "outcome")
+
+
+@query("""WITH v AS (SELECT page_id, page_id % 6 AS v, CAST(page_id AS VARCHAR) AS id FROM pages) SELECT page_id, 0 AS pos, 'Organization' AS type, 'N' || id AS name, 'https://a.io/' || id || ' https://b.io' AS sites FROM v WHERE v = 0 UNION ALL SELECT page_id, 0, 'Product', 'P', '' FROM v WHERE v = 1 UNION ALL SELECT page_id, 1, 'Offer', NULL, 'https://c.io' FROM v WHERE v = 1
+    UNION ALL SELECT page_id, 0, 'Person', 'G', '' FROM v WHERE v = 2 UNION ALL SELECT page_id, 1, NULL, 'untyped', '' FROM v WHERE v = 2 UNION ALL SELECT page_id, 0, 'Corporation', NULL, '' FROM v WHERE v = 5""")
+def structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of a JSON document for each page: plain, listed, in a graph, malformed."""
+    return structured.structured(derived.json_documents(table(spark, sf_dir, "pages"))).withColumn("sites", F.array_join("sites", " "))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events")
+def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A property of each event by its variant path; every tenth text is cut, and so has none."""
+    cut = F.when(F.col("event_id") % 10 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json(cut), "$.k", "int").alias("k"))
+
+
 # robots.txt and sitemaps
 
 
