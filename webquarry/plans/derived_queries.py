@@ -270,6 +270,14 @@ def _of_kind(name: str):  # noqa: ANN202
 for _name in _RULES:
     _of_kind(_name)
 
+@query(rf"SELECT conv_id, turn, regexp_replace(p, '[^0-9]', '', 'g') AS phone FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '{lex.PHONE}')) AS p FROM conversations)")
+def facts_phone_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phone numbers in turns of conversations."""
+    none = F.lit(None).cast("string")
+    found = F.explode(facts.text_facts(F.col("text"), none, none, ["phone"]))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("f")).select("conv_id", "turn", F.col("f.canonical_value").alias("phone"))
+
+
 _ALL = f"{_TEXTS}, f AS ({' UNION ALL '.join(_facts_sql(n) for n in _RULES)})"
 _AGREES = r"""lambda l: CASE v.fact_type WHEN 'email' THEN TRUE WHEN 'founding_year' THEN l.x = v.numeric_value WHEN 'phone' THEN ends_with(l.v, v.canonical_value) OR ends_with(v.canonical_value, l.v)
     WHEN 'headquarters' THEN len(list_intersect(regexp_extract_all(l.v, '\w+'), regexp_extract_all(v.canonical_value, '\w+'))) > 0 WHEN 'price' THEN l.c = v.currency AND l.e IS NOT DISTINCT FROM v.fee_category AND abs(l.x - v.numeric_value) <= 0.01 ELSE lower(l.v) = lower(v.canonical_value) END"""
