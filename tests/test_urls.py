@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from webquarry.functions import urls
-from webquarry.plans import fixtures
+import sites
 
 
 def column(spark, values, expression):
@@ -16,7 +16,7 @@ def column(spark, values, expression):
 
 
 def test_normal_form_equals_python(spark):
-    assert column(spark, fixtures.URLS, urls.normalize) == [urls.py_normalize(u) if not u.startswith("//") else column(spark, [u], urls.normalize)[0] for u in fixtures.URLS]
+    assert column(spark, sites.URLS, urls.normalize) == [urls.py_normalize(u) if not u.startswith("//") else column(spark, [u], urls.normalize)[0] for u in sites.URLS]
 
 
 def test_nulls(spark):
@@ -27,7 +27,7 @@ def test_nulls(spark):
 
 
 def test_normal_form_is_stable(spark):
-    once = [u for u in column(spark, fixtures.URLS, urls.normalize) if u]
+    once = [u for u in column(spark, sites.URLS, urls.normalize) if u]
     assert column(spark, once, urls.normalize) == once
 
 
