@@ -188,6 +188,12 @@ def in_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engagement.in_links(stored(relations.parse_pages(derived.tree_pages(table(spark, sf_dir, "pages"))), "parsed"))
 
 
+@query(f"WITH {_TREE} SELECT t.site, regexp_replace(t.url, '/$', '') AS canonical, CAST(1 AS BIGINT) AS n_in FROM t JOIN t p ON p.site = t.site AND t.r > 1 AND p.r = t.r // 2 AND p.page_id % 12 <> 10")
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that one page or more links to, by the operator that finds hubs."""
+    return engagement.hubs(stored(relations.parse_pages(derived.tree_pages(table(spark, sf_dir, "pages"))), "parsed"), least=1)
+
+
 # Entities, clarity, freshness
 
 
