@@ -127,3 +127,22 @@ def test_pipeline_decisions(spark, tmp_path):
     assert {r.doc_id: r.text for r in d.collect()}[3].split() == other.split()
     d = corpus_pipeline.materialize(run["decontamination"](spark, d, str(tmp_path)), "t3")
     assert {r.doc_id for r in d.collect()} == {1, 3, 5, 6, 7, 8}
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Empty labels and benchmark, null ids and texts, repeated rows, other columns with the names that stages use."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    text = " ".join(f"w{i}" for i in range(70))
+    rows = [(1, text, "en", "s", 5, "a"), (1, text, "en", "s", 5, "a"), (2, f"{text} end", "en", "s", 5, "b"), (3, None, None, None, None, None), (None, "", "en", "s", 0, "c"), (None, None, "en", "s", 0, "d")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _toxicity string"
+    names = dict(corpus_pipeline.STAGES)
+    for docs, kept in ((spark.createDataFrame(rows, schema), {"toxicity": 6, "near_duplicates": 4, "passages": None, "decontamination": 6}), (spark.createDataFrame([], schema), {})):
+        for name in ("toxicity", "near_duplicates", "passages", "decontamination"):
+            got = names[name](spark, docs, str(tmp_path))
+            assert got.columns == docs.columns, name
+            if kept.get(name) is not None:
+                assert got.count() == kept[name], name
+            elif not kept:
+                assert got.count() == 0, name
+    assert names["packing"](spark, spark.createDataFrame([], schema), str(tmp_path)).count() == 0
