@@ -38,3 +38,11 @@ def test_events_are_balanced():
     for kind, *_ in markup.events("<ul><li>a<li>b<table><tr><td>c<td>d</table></ul><p>x<div>y</p>"):
         depth += (kind == "start") - (kind == "end")
     assert depth == 0
+
+
+def test_references_without_a_semicolon():
+    html = "<title>A &amp; B&amp</title><body><h1>C &quot;D&quot;&lt</h1>&notit; &#x41; &#65 &nope; <a href='/x?a=1&amp;b&lt'>E</a></body>"
+    page, closed = parse("https://a.io/", html), parse("https://a.io/", html, closed=True)
+    assert (page["title"], page["headings"], page["body_text"]) == ("A & B&", [(1, 'C "D"<')], 'C "D"< ¬it; A A &nope; E')
+    assert (closed["title"], closed["headings"], closed["body_text"]) == ("A & B&amp", [(1, 'C "D"&lt')], 'C "D"&lt &notit; A &#65 &nope; E')
+    assert markup.attributes("href='/x?a=1&amp;b&lt'", closed=True) == {"href": "/x?a=1&b&lt"}
