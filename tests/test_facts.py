@@ -175,3 +175,15 @@ def test_numbers_equal_a_window(spark):
     want = df.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("x", "k")))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert numbered(df.limit(0), ["site"], ["x"], "place").collect() == []
+
+
+def test_pairs_of_a_large_group_are_dealt_over_tasks(spark):
+    """All contradictions of 600 clusters of phone numbers, which more than one task works out."""
+    value = lambda k: f"{5550000 + k}" if k % 3 else f"1{5550001 + k}"  # noqa: E731  every third ends with the next one
+    rows = [("s", "phone", k, value(k), None, None, None, {"page_id": k, "pos": 0}, 0.9, [f"https://s.io/{k % 7}"], "", [""], []) for k in range(600)]
+    schema = "site string, fact_type string, cluster long, first_value string, first_number double, first_currency string, first_fee string, ord struct<page_id:long,pos:int>, confidence double, urls array<string>, snippets string, locales array<string>, evidence array<struct<raw_value:string,source_url:string>>"
+    got = consistency.conflicts(spark.createDataFrame(rows, schema)).withColumn("task", F.spark_partition_id()).select("cluster_a", "cluster_b", "task").collect()
+    ends = lambda a, b: value(a).endswith(value(b)) or value(b).endswith(value(a))
+    want = {(a, b) for a in range(600) for b in range(a + 1, 600) if a % 7 != b % 7 and not ends(a, b)}
+    assert len(got) == len(want) and {(r.cluster_a, r.cluster_b) for r in got} == want
+    assert len({r.task for r in got}) > 1
