@@ -225,7 +225,9 @@ def text_facts(text: Column, url: Column, site_name: Column, kinds: list[str] |
     Control characters 01 to 03 count as blanks.
     """
     page = Context(url, F.lower(brand(url, site_name)))
-    clear = F.translate(F.coalesce(text, F.lit("")), _OPEN + _FIELD + _CLOSE, "   ")
+    clear = F.coalesce(text, F.lit(""))
+    for mark in (_OPEN, _FIELD, _CLOSE):
+        clear = F.replace(clear, F.lit(mark), F.lit(" "))
 
     def of(kind: Kind) -> Column:
         every = F.concat(*[spans(clear, p, kind.window, kind.anycase) for p in kind.patterns])
