@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from webquarry.llm.lm import Shape, perplexity, sample_contexts, sample_tail, seat
+from webquarry.llm.lm import Shape, perplexity, sample_contexts, sample_restaurants, sample_tail, seat
 from webquarry.llm.toxicity import Features, Ftrl, Rates, fit, score, toxicity
 from pyspark.sql import functions as F
 
@@ -99,6 +99,32 @@ def test_perplexity_base_and_gain(spark):
     assert perplexity(docs.limit(0)).count() == 0
 
 
+def test_pairs_beyond_the_table_count(spark):
+    """Held-out texts of pairs of rare words that training has, against the same words in other pairs."""
+    rng = np.random.default_rng(3)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 10
+    learned, held = [i for i in range(1200) if fold(i)][:900], [i for i in range(1200) if not fold(i)]
+    pair = lambda i, shift=0: f"first{i} second{(i + shift) % 60}"
+    rows = [(i, " ".join(["the", *[pair(int(k)) for k in rng.integers(0, 60, 5)]])) for i in learned]
+    kept, broken = held[:30], held[30:60]
+    for a, b in zip(kept, broken, strict=True):
+        some = [int(k) for k in rng.integers(0, 60, 5)]
+        rows += [(a, " ".join(["the", *[pair(k) for k in some]])), (b, " ".join(["the", *[pair(k, 7) for k in some]]))]
+    for dictionary in (4, 2000):  # the words are looked up by the join; the dictionary has them
+        got = {r.doc_id: r for r in perplexity(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shape=Shape(contexts=1, dishes=2, dictionary=dictionary)).collect()}
+        assert len(got) == len(rows)
+        # Each of five pairs is one of 60 that were seen about 75 times.
+        assert all(got[a].score > got[b].score + 5 for a, b in zip(kept, broken, strict=True))
+
+
+def test_restaurants_add_up():
+    rng = np.random.default_rng(4)
+    context, c = np.repeat(np.arange(6), 20), rng.integers(1, 30, 120)
+    prior = rng.dirichlet(np.ones(20), 6).ravel()
+    own, share = sample_restaurants(context, c, prior, 7, Shape())
+    assert np.allclose(np.bincount(context, own, 7) + share, 1) and share[6] == pytest.approx(1) and (own > 0).all()
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, n = docs.columns, docs.count()
