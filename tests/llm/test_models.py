@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from webquarry.llm.lm import Shape, perplexity, sample_contexts, sample_restaurants, sample_tail, seat
+from webquarry.llm.lm import Shape, pack_tokens, perplexity, sample_contexts, sample_restaurants, sample_tail, seat, unpack_tokens
 from webquarry.llm.toxicity import Features, Ftrl, Rates, fit, score, toxicity
 from pyspark.sql import functions as F
 
@@ -125,6 +125,14 @@ def test_restaurants_add_up():
     assert np.allclose(np.bincount(context, own, 7) + share, 1) and share[6] == pytest.approx(1) and (own > 0).all()
 
 
+def test_packed_tokens():
+    rng = np.random.default_rng(5)
+    row, before, token, context = rng.integers(2**40, 2**40 + 9000, 500), rng.integers(-(2**63), 2**63 - 1, 500), rng.integers(2, 131_074, 500), rng.integers(-1, 512, 500)
+    before[:100] = before[100:200]
+    got = unpack_tokens(pack_tokens(row, before, token, context))
+    assert sorted(zip(*(x.tolist() for x in got[:4]), strict=True)) == sorted(zip(row.tolist(), before.tolist(), token.tolist(), context.tolist(), strict=True))
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, n = docs.columns, docs.count()
