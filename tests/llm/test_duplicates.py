@@ -317,3 +317,37 @@ def test_promising_pairs_are_those_with_enough_in_common():
         for (a, b), got in zip(pairs, substring_dedup.promising(pairs, passages), strict=True):
             hit = np.isin(substring_dedup._shingles(a, 5), substring_dedup._shingles(b, 5))
             assert got == any(hit[k : k + n].sum() >= least for n, least in sizes for k in range(len(hit) - n + 1))
+
+
+def test_stretches_hold_all_that_can_be_passages():
+    rng = np.random.default_rng(5)
+    passages = Passages(least=14, width=5)
+    n, t = 160, passages.tokens
+    for _ in range(60):
+        alone = rng.random(n) < rng.choice([0.05, 0.2, 0.5, 0.9], 8).repeat(n // 8)
+        inside = np.ones(n, dtype=bool)
+        inside[rng.integers(n, size=3)] = False
+        kept = np.zeros(n, dtype=bool)
+        for lo, hi in substring_dedup.stretches(alone, inside, passages).tolist():
+            assert hi - lo >= t and inside[lo:hi].all()
+            kept[lo:hi] = True
+        want = np.zeros(n, dtype=bool)
+        for lo in range(n):
+            for hi in range(lo + t, n + 1):
+                if inside[lo:hi].all() and 5 * alone[lo:hi].sum() <= hi - lo:
+                    want[lo:hi] = True
+        assert (kept == want).all()
+
+
+def test_only_texts_that_can_share_a_passage_have_windows(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    line, passage = words(12), words(60)
+    rows = [(i, f"{words(100)} {line} {words(100)}".encode()) for i in range(20)]
+    rows += [(i, f"{words(70)} {passage} {line} {words(30)}".encode()) for i in (20, 21)] + [(22, None), (23, b"a b")]
+    held = substring_dedup.chunks(spark.createDataFrame(rows, "doc_id long, text binary"), Passages()).cache()
+    found = substring_dedup.segments(held, substring_dedup.repeated(held, 3, Passages()), Passages()).collect()
+    assert {r.node for r in found} == {20, 21}
+    for r in found:
+        (lo, hi), *more = np.frombuffer(r.segments, dtype="<i4").reshape(-1, 2).tolist()
+        assert not more and lo <= 70 and hi >= 70 + 72 - 4
