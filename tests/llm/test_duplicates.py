@@ -351,3 +351,16 @@ def test_only_texts_that_can_share_a_passage_have_windows(spark):
     for r in found:
         (lo, hi), *more = np.frombuffer(r.segments, dtype="<i4").reshape(-1, 2).tolist()
         assert not more and lo <= 70 and hi >= 70 + 72 - 4
+
+
+def test_large_groups_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SMALL_GROUP", 2)
+    monkeypatch.setattr(substring_dedup, "rare_windows", lambda texts, passages: spark.createDataFrame([], substring_dedup._WINDOWS))
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    line, rows = words(44), []
+    for k in range(12):
+        passage = f"{words(3)} {line} {words(3)}"
+        rows += [(2 * k + i, f"{words(30)} {passage} {words(30)}") for i in (0, 1)]
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), Passages(functions=2)).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in found if r.doc_id % 2} >= {(2 * k + 1, 2 * k) for k in range(12)}
