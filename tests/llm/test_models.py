@@ -180,3 +180,23 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
             elif not kept:
                 assert got.count() == 0, name
     assert names["packing"](spark, spark.createDataFrame([], schema), str(tmp_path)).count() == 0
+
+
+def test_sums_of_texts_go_on_packed():
+    import pyarrow as pa
+
+    from webquarry.llm import lm
+
+    rng = np.random.default_rng(2)
+    row = np.unique(rng.integers(0, 1 << 40, 500))
+    known, base, score = rng.integers(0, 9, len(row)), -rng.random(len(row)), -rng.random(len(row))
+    for got, want in zip(lm.unpack_sums(lm.pack_sums(row, known, base, score)), (row, known, base, score), strict=True):
+        assert (got == want).all()
+    n = len(row)
+    names = ["row", "doc_id", *lm._SUMS, "to", "packed"]
+    texts = [pa.array(row[::-1]), pa.array([None, *range(1, n)], pa.int64()), pa.array(np.full(n, 3)), pa.array(np.full(n, 1)), pa.array(np.zeros(n)), pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.binary())]
+    parts = [lm.pack_sums(row[k::2], known[k::2], base[k::2], score[k::2]) for k in (0, 1)] + [lm.pack_sums(row, known, base, score)]
+    added = [*[pa.nulls(3, pa.int64())] * 4, *[pa.nulls(3, pa.float64())] * 2, pa.array(np.zeros(3, np.int32)), pa.array(parts, pa.binary())]
+    out = pa.Table.from_batches(lm.summed(iter([pa.RecordBatch.from_arrays(added, names=names), pa.RecordBatch.from_arrays(texts, names=names)]))).to_pydict()
+    assert out["row"] == row.tolist() and out["doc_id"] == [*range(n - 1, 0, -1), None]
+    assert out["n_known"] == (1 + 2 * known).tolist() and np.allclose(out["base"], 2 * base) and np.allclose(out["score"], 2 * score)
