@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import sites
 from webquarry.functions import urls
 from webquarry.operators import crawl, relations, structured
-from webquarry.plans import audit
+from webquarry.plans import audit, catalogue
 from webquarry.plans.audit import Options, audit_sites
 from webquarry.sources import redirects
 
@@ -46,6 +46,17 @@ def test_a_failing_skill_leaves_the_others(spark, monkeypatch):
     assert {r.skill for r in made.findings.select("skill").distinct().collect()} == {"technical", "engagement"}
 
 
+def test_a_failing_skill_ends_queries(spark, monkeypatch, tmp_path):
+    def fail(*_):
+        raise ValueError("no rules")
+
+    sites.pages(spark).select("page_id", "url", "html").write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(audit.trust, "clarity_findings", fail)
+    for name in ("audit_findings", "audit_recommendations", "full_audit", "json_reports", "markdown_reports"):
+        with pytest.raises(ValueError, match="no rules"):
+            catalogue.QUERIES[name](spark, str(tmp_path))
+
+
 def test_broken_pages_are_told(spark, monkeypatch):
     empty = audit_sites(spark.createDataFrame([], "page_id long, url string, html string"))
     assert empty.reports.collect() == [] and empty.findings.collect() == [] and empty.broken.collect() == []
