@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .plans.audit import Options, audit_sites, to_json, to_markdown, write_reports
+from .plans.audit import Options, audit_sites, json_lines, markdown_lines, write_reports
 from .sources import snapshots
 
 
@@ -26,8 +26,8 @@ def main(args: list[str] | None = None) -> None:
     if given.output:
         write_reports(audit, given.output, given.format)
     else:
-        for row in (to_json if given.format == "json" else to_markdown)(audit).orderBy("site").toLocalIterator():
-            print(row.report)
+        for row in (json_lines if given.format == "json" else markdown_lines)(audit).orderBy("site", "section", "place").toLocalIterator():
+            print(row.line)
 
 
 if __name__ == "__main__":
